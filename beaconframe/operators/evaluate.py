@@ -36,6 +36,6 @@ def results_document(table: DataFrame, ks: list[int]) -> DataFrame:
     rated = table.select("language", "n", rates.alias("rates"))
     return rated.agg(
         F.any_value(F.when(F.col("language") == OVERALL, F.col("rates")), F.lit(True)).alias("overall"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("language") != OVERALL, F.struct("language", "rates"))))).alias("per_language"),
+        F.map_from_entries(F.collect_list(F.when(F.col("language") != OVERALL, F.struct("language", "rates")))).alias("per_language"),
         F.max(F.when(F.col("language") == OVERALL, F.col("n"))).alias("n_queries"),
     )
