@@ -268,8 +268,8 @@ def build_graph(vectors: DataFrame, *, k: int = 24, leaf_rows: int = 2048, trees
 _ADJACENT = "node long, ids array<long>, codes binary, scales array<float>"
 
 
-def build_adjacency(graph: DataFrame, *, degree: int = 40, bucket_bytes: int = 8 << 20) -> DataFrame:
-    """(node, ids, codes, scales): links in both directions with the codes, bucketed by node."""
+def build_adjacency(graph: DataFrame, *, degree: int = 40, bucket_bytes: int = 8 << 20) -> tuple[DataFrame, str]:
+    """(node, ids, codes, scales), links in both directions with the codes, bucketed by node; and the table's name."""
     spark = graph.sparkSession
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def build_adjacency(graph: DataFrame, *, degree: int = 40, bucket_bytes: int = 8
     name = f"ann_{uuid.uuid4().hex}"
     table = _gathered(graph, degree).mapInArrow(rows, _ADJACENT).repartition(buckets, "node")
     table.write.bucketBy(buckets, "node").sortBy("node").option("path", scratch_path(spark, "ann-adjacent")).saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 _BEAM = "query long, code binary, scale float, ids array<long>, scores array<float>, open array<boolean>"
@@ -380,7 +380,7 @@ def nearest(
     nodes = materialize(rows.join(heads, F.col("id") == F.col("head"), "left_semi").dropDuplicates(["id"]), "ann-nodes")
 
     graph = build_graph(nodes, k=k, rounds=rounds, seed=seed)
-    adjacency = build_adjacency(graph, degree=degree)
+    adjacency, name = build_adjacency(graph, degree=degree)
     asked = members.join(marks, F.col("id") == F.col("query_id")).select("query_id", "node").distinct()
     asked = materialize(asked, "ann-queries")
     # Equal queries are searched once, from their own place in the graph.
@@ -388,6 +388,7 @@ def nearest(
     own_score = F.lit(float("inf")).cast("float")
     starts = starts.select(F.col("node").alias("query"), "code", "scale", F.concat(F.array("node"), "ids").alias("ids"), F.concat(F.array(own_score), "scores").alias("scores"))
     found = search_graph(starts, adjacency, beam=beam)
+    vectors.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the session
 
     close = found.select("query", F.explode(F.slice(F.reverse(F.array_sort(F.arrays_zip(F.col("scores"), F.col("ids")))), 1, rescore)).alias("x")).select("query", F.col("x.ids").alias("other"))
     a, b = nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb"))

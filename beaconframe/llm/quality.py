@@ -119,7 +119,8 @@ def judge_quality(
     *,
     id_col: str = "doc_id",
     text_col: str = "text",
-    max_divergence: float = 0.28,
+    max_divergence: float = 0.22,
+    noise: float = 0.5,
     min_words: int = 50,
     keep_rows: bool = False,
 ) -> DataFrame:
@@ -127,8 +128,9 @@ def judge_quality(
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.
     kept is false if base_failed, or if the text has at least ``min_words`` words and its
-    distance to the nearest language reference is over ``max_divergence``; divergence is
-    null for texts below that length.
+    distance to the nearest language reference is over ``max_divergence`` plus ``noise`` /
+    sqrt(words), for a histogram of few words is far from any reference by chance;
+    divergence is null for texts below that length.
 
     Null and empty texts have no words and fail.  Null ids and repeated rows are judged row
     by row, an empty table gives no rows, and with ``keep_rows`` all columns pass through,
@@ -139,7 +141,7 @@ def judge_quality(
         n, *rest = text_stats(text)
         failed = n < 10 or 100 * rest[-1] > 20 * n
         far = divergence(text) if n >= min_words and not (failed and keep_rows) else None
-        return n, *rest, failed, not failed and (far is None or far <= max_divergence), far
+        return n, *rest, failed, not failed and (far is None or far <= max_divergence + noise / n**0.5), far
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):

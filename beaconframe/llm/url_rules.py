@@ -61,8 +61,10 @@ def reversed_host(host: Column) -> Column:
 
 
 def _rule_frame(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
-    rows = [(i, r.verdict, r.host, r.path, r.host + r.path) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "no int, verdict string, host string, path string, rule string")
+    """A short list of rules as rows of literals."""
+    rows = [F.struct(F.lit(i).alias("no"), F.lit(r.verdict).alias("verdict"), F.lit(r.host).alias("host"), F.lit(r.path).alias("path"), F.lit(r.host + r.path).alias("rule")) for i, r in enumerate(rules)]
+    none = F.array(F.struct(*(F.lit(None).cast(k).alias(n) for n, k in (("no", "int"), ("verdict", "string"), ("host", "string"), ("path", "string"), ("rule", "string")))))
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else none)).where("no IS NOT NULL")
 
 
 #: A rule on the stack, and a segment of the swept key space.
