@@ -50,6 +50,7 @@ _NOISE_WORDS = _COMMENT_WORDS | frozenset(
     "notice notices popup modal overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
     "masthead header footer related recommended recommendations share sharing social pagination pager toolbar widget widgets search skip".split()
 )
+_ARTICLE_WORDS = frozenset("article post entry story content".split())
 _HOLDS_TEXT = frozenset({"html", "body", "main"})
 
 
@@ -140,29 +141,46 @@ def _below(node: _Node) -> Iterator[_Node]:
 
 
 def _prune(root: _Node) -> None:
-    """Cut off what is not article text, in all of the tree."""
+    """Cut off what is not article text, in all of the tree.
+
+    An element named like a sidebar or a banner stays if the page's main article stands in
+    it (a wrapper), or if it is the article's own heading.
+    """
     nodes = list(_below(root))
-    holds: dict[int, bool] = {}
+    cut: set[int] = set()
+    for node in nodes:
+        if node.tag in _NOISE_TAGS or node.hidden or (node.up is not None and id(node.up) in cut):
+            cut.add(id(node))
+    chars: dict[int, int] = {}
+    heading: set[int] = set()
     for node in reversed(nodes):
-        own = node.tag in ("main", "h1") or (node.tag == "article" and not node.words & _COMMENT_WORDS)
-        holds[id(node)] = own or any(holds[id(x)] for x in node.items if isinstance(x, _Node))
+        own = 0 if id(node) in cut else sum(_visible(x) for x in node.items if isinstance(x, str))
+        chars[id(node)] = own + sum(chars[id(x)] for x in node.items if isinstance(x, _Node))
+        if node.tag == "h1" or any(id(x) in heading for x in node.items if isinstance(x, _Node)):
+            heading.add(id(node))
+    articles = [x for x in nodes if x.tag in ("main", "article") and id(x) not in cut and not x.words & _COMMENT_WORDS]
+    wraps: set[int] = set()
+    up = max(articles, key=lambda x: chars[id(x)], default=None)
+    while up is not None:
+        wraps.add(id(up))
+        up = up.up
+    inside = {id(root): False}
+    for node in nodes[1:]:
+        inside[id(node)] = inside[id(node.up)] or node.up.tag in ("main", "article") or bool(node.up.words & _ARTICLE_WORDS)
 
     def noise(x: _Node) -> bool:
-        if x.tag in _NOISE_TAGS or x.hidden:
+        if id(x) in cut:
             return True
-        if x.tag in _HOLDS_TEXT:
+        if x.tag in _HOLDS_TEXT or id(x) in wraps:
             return False
-        return bool(x.words & _COMMENT_WORDS) and x.tag != "h1" and not _holds_article(x, holds) or (x.role in _NOISE_ROLES or bool(x.words & _NOISE_WORDS)) and not holds[id(x)]
+        if id(x) in heading and not x.words & _COMMENT_WORDS and (inside[id(x)] or x.words & _ARTICLE_WORDS):
+            return False
+        return x.role in _NOISE_ROLES or bool(x.words & _NOISE_WORDS)
 
     for node in nodes:
         node.items = [x for x in node.items if not (isinstance(x, _Node) and noise(x))]
 
 
-def _holds_article(node: _Node, holds: dict[int, bool]) -> bool:
-    """Whether an element named for comments is in fact what the article stands in."""
-    return holds[id(node)] and any(x is not node and (x.tag == "main" or (x.tag == "article" and not x.words & _COMMENT_WORDS)) for x in _below(node))
-
-
 def _visible(text: str) -> int:
     return sum(map(len, text.split()))
 

@@ -216,6 +216,21 @@ def test_main_text():
     assert html_text.main_text("<body><p>" + "word " * 50_000 + "</p>").count("word") == 50_000
 
 
+LAYOUTS = {
+    "<body><div id='header'><h1>Site</h1></div><div id='content'><h2>Title</h2><p>One long paragraph with words.</p><p>And two more of them here.</p></div><div id='footer'>c</div></body>": "Title\nOne long paragraph with words.\nAnd two more of them here.",
+    "<div class='layout sidebar-left'><main><article><div class='post-header'><h1>Title</h1></div><p>Text with <a href='x'>a link</a> in it.</p><ul><li>One<li>Two</ul><table><tr><td>cell</table><blockquote>Quote</blockquote></article><section class='related'><article><p>Other article</p></article></section></main></div>": "Title\nText with a link in it.\nOne\nTwo\ncell\nQuote",
+    "<main><h1>T</h1><p>Body text of the page.</p><div class='AdSlot'>Buy</div><section id='comments'><h3>Comments</h3><p>Nice one</p></section><div role='dialog'>x</div><noscript>y</noscript></main>": "T\nBody text of the page.",
+    "<article class='post'><h1>A&lt;b&gt;</h1><p>x<br>y<p hidden>no</p><pre>a  b\n c</pre><figure><figcaption>Cap</figcaption></figure></article>": "A<b>\nx y\na b c\nCap",
+    "<body><nav>Menu</nav><p>Plain page text.</p><p>More of it.</p></body>": "Plain page text.\nMore of it.",
+    "<div class='entry'><div class='comments'><p>c</p></div><p>Only this</p></div>": "Only this",
+}
+
+
+def test_layouts():
+    for page, want in LAYOUTS.items():
+        assert html_text.main_text(page) == want, page
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class='ad'>", "<div>", "</div>", "<b>", "</b>", "<li>", "<td>", "<tr>", "<table>", "</table>", "<a href=\"x\">", "<a", "text", " ", "&amp;", "<br/>", "<body>", "<html>", "</html>", "<!--", "-->", "<script>", "</script>", "\"", "<article>", "</article>"]), max_size=40).map("".join))
 def test_any_page_is_read(page):
