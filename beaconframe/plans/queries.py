@@ -476,7 +476,7 @@ def random_ablation_mean_std(spark, sf_dir):
 def pct_to_anchor_n(spark, sf_dir):
     base = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("base"))
     pct = _percentages(spark, 0.25, 0.35, 0.75, 2.5, 50, 100)
-    return base.crossJoin(F.broadcast(pct)).select("o_orderkey", percent_label("percentage").alias("label"), percent_to_count(F.col("base"), F.col("percentage"), 2).alias("anchor_n"))
+    return base.crossJoin(pct).select("o_orderkey", percent_label("percentage").alias("label"), percent_to_count(F.col("base"), F.col("percentage"), 2).alias("anchor_n"))
 
 
 def _runs(spark, sf_dir):

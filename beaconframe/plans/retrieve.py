@@ -118,6 +118,11 @@ def retrieve_dense(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
     return evaluate.recall_table(truth.join(hit, ["caption_id", "gt"], "left"), list(config.ks), mrr=True)
 
 
+def _small(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows`` marked for a broadcast if there are few of them, else as they are."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def sweep(data: EvaluationSet, config: RetrievalConfig, grid: DataFrame) -> DataFrame:
     """Recall for each (k, p) of ``grid`` from one similarity pass for each modality.
 
@@ -127,7 +132,7 @@ def sweep(data: EvaluationSet, config: RetrievalConfig, grid: DataFrame) -> Data
     largest = RetrievalConfig(**{**asdict(config), "k": grid.agg(F.max("k")).first()[0]})
 
     def represented(neighbours: DataFrame) -> DataFrame:
-        run = neighbours.join(F.broadcast(grid), F.col("rk") <= F.col("k"))
+        run = neighbours.join(_small(grid), F.col("rk") <= F.col("k"))
         v = relrep.process_weight(F.col("s"), "norm", 1, config.clamp_min)
         powered = run.withColumn("s", F.pow(v, F.col("p").cast("double"))) if config.proc == "asif" else run
         return relrep.weights(powered, proc="none" if config.proc == "none" else "norm", clamp_min=config.clamp_min if config.proc == "none" else None, keys=("k", "p", "id"))
@@ -179,7 +184,7 @@ def random_subsets(anchors: DataFrame, runs: DataFrame, base_n: int, k: int) ->
 def first_n_subsets(anchors: DataFrame, percentages: DataFrame, base_n: int, k: int) -> DataFrame:
     """(percentage, anchor_n, anchor_id): the first anchors of each percentage."""
     sized = percentages.withColumn("anchor_n", percent_to_count(F.lit(base_n), F.col("percentage"), k))
-    return anchors.select("anchor_id").join(F.broadcast(sized), F.col("anchor_id") < F.col("anchor_n")).select("percentage", "anchor_n", "anchor_id")
+    return anchors.select("anchor_id").join(_small(sized), F.col("anchor_id") < F.col("anchor_n")).select("percentage", "anchor_n", "anchor_id")
 
 
 def similarity_profile(data: EvaluationSet, caption_id: int, *, top: int = 1000, bins: int = 80, lo: float = -0.2, hi: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
