@@ -26,6 +26,16 @@ from .common import WORD, materialize
 _WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
+def _once(value: Column) -> Column:
+    """``value``, behind a condition that is true for every row and that Spark moves no filter past.
+
+    A filter on the column would else be copied down into joins with its whole expression,
+    and that again for each column it is made of: code of such a size that compiling it
+    takes more memory than the data.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def word_count(text: Column) -> Column:
     """Words of the whole text as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -74,7 +84,7 @@ def _placed(docs: DataFrame, per_source: DataFrame, most: int, seed: int) -> Dat
         .withColumn("copies", copies).withColumn("certain", F.floor("copies")).withColumn("chance", F.col("copies") - F.col("certain"))
         .withColumn("u", _draw("id", seed))
         .withColumn("q", F.when(F.col("chance") > 0, (u / (1.0 - u)) / odds))
-        .withColumn("place", F.col("q") / (1.0 + F.col("q")))
+        .withColumn("place", _once(F.col("q") / (1.0 + F.col("q"))))
         .drop("u", "q", "copies")
     )
 
@@ -162,7 +172,7 @@ def mix(
         | ((F.floor(F.col("place") * F.col("n_cells")) == F.col("end_cell")) & F.coalesce(rank <= F.col("last"), F.lit(False)))
         | rank.eqNullSafe(F.col("extra"))
     )
-    decided = _placed(rows, plan, most, seed).withColumn("copies", F.col("certain") + F.when(in_sample, 1).otherwise(0))
+    decided = _placed(rows, plan, most, seed).withColumn("copies", _once(F.col("certain") + F.when(in_sample, 1).otherwise(0)))
     mixed = F.struct("size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")).alias("mix")
     return decided.select(F.col("id").alias(id_col), mixed) if slim else decided.select("row.*", mixed)
 
