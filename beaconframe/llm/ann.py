@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +76,12 @@ def _quantize(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(rows, _NODE)
 
 
-def _groups(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
-    """The rows of each value of a sorted ``key``, also where a batch ends inside them."""
+def _groups(parts: Iterator[pa.RecordBatch], key: str, shrink: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The rows of each value of a sorted ``key``, also where a batch ends inside them.
+
+    ``shrink`` makes few rows of many that say the same; it is applied whenever ``most``
+    rows of one value are held, so that a value with any number of rows fits.
+    """
     held: list[pa.RecordBatch] = []
     for batch in parts:
         if not batch.num_rows:
@@ -89,6 +93,8 @@ def _groups(parts: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatc
                 yield _joined(held)
                 held = []
             held.append(batch.slice(a, b - a))
+            if shrink is not None and sum(x.num_rows for x in held) > most:
+                held = [shrink(_joined(held))]
     if held:
         yield _joined(held)
 
@@ -168,9 +174,19 @@ def _merge(nodes: DataFrame, found: DataFrame, k: int) -> DataFrame:
     number of rows (node, ids, scores).
     """
 
+    def shrink(group: pa.RecordBatch) -> pa.RecordBatch:
+        """The node's own rows, which come first, and the best k of all others as one row."""
+        own = int(column(group, "code").is_valid().to_numpy(zero_copy_only=False).sum())
+        ids, scores = (column(group.slice(own), c).flatten().to_numpy(zero_copy_only=False) for c in ("ids", "scores"))
+        ids, first = np.unique(ids, return_index=True)
+        best = np.argsort(-scores[first], kind="stable")[:k]
+        rest = group.slice(own, 1).set_column(group.schema.get_field_index("ids"), group.schema.field("ids"), _lists(ids[best], [len(best)]).cast(group.schema.field("ids").type))
+        rest = rest.set_column(group.schema.get_field_index("scores"), group.schema.field("scores"), _lists(scores[first][best], [len(best)]).cast(group.schema.field("scores").type))
+        return _joined([group.slice(0, own), rest])
+
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        for group in _groups(parts, "node"):
+        for group in _groups(parts, "node", shrink):
             own = column(group, "code").is_valid().to_numpy(zero_copy_only=False)
             if not own.any():
                 continue

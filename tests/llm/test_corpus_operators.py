@@ -340,6 +340,14 @@ def test_recall(spark):
     assert np.mean([len({i for i, _ in own} & {i for i, _ in got[q]}) / 20 for q, own in want.items()]) >= 0.9
 
 
+def test_a_node_with_many_offers(spark):
+    """Rows for one node are shrunk as they come, and the best neighbours stay."""
+    nodes = spark.createDataFrame([(0, bytearray(b"\x01"), 1.0, [5], [0.5]), (1, bytearray(b"\x01"), 1.0, [], [])], "node long, code binary, scale float, ids array<long>, scores array<float>")
+    offers = spark.range(10, 20_010).selectExpr("CAST(0 AS long) AS node", "array(id) AS ids", "array(CAST(id / 100000 AS float)) AS scores")
+    got = {r["node"]: r for r in ann._merge(nodes, offers, 3).collect()}
+    assert got[0]["ids"] == [5, 20_009, 20_008] and got[0]["fresh"] == [False, True, True] and got[1]["ids"] == []
+
+
 def test_leaves_are_held_in_blocks(spark):
     """One leaf for all, far larger than a block: the graph still reaches good neighbours."""
     rng = np.random.default_rng(14)
