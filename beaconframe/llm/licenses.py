@@ -192,11 +192,22 @@ class LicenseScanner:
         for at in starts[dense].tolist():
             if at < end:
                 continue
-            stretch = words[at : at + width]
-            pairs = patience_align(stretch, template)
+            pairs = self._around(words, template, at, width, end)
             if len(pairs) >= least:
-                yield [(at + i, j) for i, j in pairs]
-                end = at + pairs[-1][0] + 1
+                yield pairs
+                end = pairs[-1][0] + 1
+
+    @staticmethod
+    def _around(words: list[str], template: list[str], at: int, width: int, low: int) -> list[tuple[int, int]]:
+        """The best alignment of a stretch from ``at`` on, moved to where its own middle match puts the template."""
+        best: list[tuple[int, int]] = []
+        while True:
+            pairs = [(at + i, j) for i, j in patience_align(words[at : at + width], template)]
+            if len(pairs) <= len(best):
+                return best
+            best = pairs
+            i, j = pairs[len(pairs) // 2]
+            at = max(low, i - j - (width - len(template)) // 2)
 
 
 def scan_licenses(

@@ -270,6 +270,10 @@ def test_scan():
     assert names("Released under the MIT License. " * 3) == ["MIT"] * 3
     assert names("licensed under\ncc BY-NC 4.0, and later: Licensed under CC BY 4.0!") == ["CC-BY-NC-4.0", "CC-BY-4.0"]
     assert names("This work is licensed by the GNU General Public License, version 3.") == ["GPL-3.0"]
+    # Words of the template right before a notice don't shift it.
+    for before in ("under the", "the of the 2.0 a license", "this work is"):
+        assert [x[:2] for x in scanner.scan(f"{before} Licensed under the Apache License, Version 2.0. The end")] == [("Apache-2.0", 1.0)]
+        assert [x[:2] for x in scanner.scan(f"{before} x This work is licensed under the GNU General Public License, version 3.")] == [("GPL-3.0", 1.0)]
     for none in (None, "", "The license of this work is a general one, under the public version.", "license " * 5000):
         assert names(none) == []
     assert scanner.scan("filler words here " * 20_000 + "Licensed under CC BY 4.0.")[0][2] == 60_000
