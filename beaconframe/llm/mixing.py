@@ -153,8 +153,8 @@ def mix(
 
     Null texts have size 0.  Null sources are a source of their own, the last one.  Rows
     that are equal in id and size share their random number and so their fate, and null ids
-    count as equal.  An empty table gives no rows.  Other columns, also such with the names
-    used here, pass through.
+    count as equal.  An empty table gives no rows.  Other columns pass through, whatever
+    their names; only one called ``mix`` is replaced.
     """
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     sized = materialize(
@@ -174,7 +174,7 @@ def mix(
     )
     decided = _placed(rows, plan, most, seed).withColumn("copies", _once(F.col("certain") + F.when(in_sample, 1).otherwise(0)))
     mixed = F.struct("size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")).alias("mix")
-    return decided.select(F.col("id").alias(id_col), mixed) if slim else decided.select("row.*", mixed)
+    return decided.select(F.col("id").alias(id_col), mixed) if slim else decided.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "mix"), mixed)
 
 
 def repeat_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:

@@ -227,6 +227,8 @@ def test_mix_weights_and_edges(spark):
     rate = lambda f: np.mean([r["copies"] for r in got if f(r["doc_id"])])
     assert rate(lambda i: i % 2 == 0) > 1.5 * rate(lambda i: i % 2 and i % 5) and rate(lambda i: i % 2 and i % 5 == 0) == 0
     assert mixing.mix(docs(spark, [])).count() == 0
+    named = mixing.mix(docs(spark, rows[:9]).withColumn("mix", F.lit(1)).withColumn("place", F.lit(2)).withColumn("a.b", F.lit(3)))
+    assert named.columns[-3:] == ["place", "a.b", "mix"] and named.select("mix.copies").count() == 9
     same = mixing.mix(docs(spark, [(1, "a b", "s"), (1, "a b", "s"), (None, None, None)])).select("doc_id", "mix.*").collect()
     assert [r["copies"] for r in same if r["doc_id"] == 1] == [1, 1]
     again = mixing.repeat_documents(docs(spark, rows))
