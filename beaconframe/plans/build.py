@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconframe.operators import relrep
 from beaconframe.sources import captions as cap
 
 from . import encoders, retrieve
@@ -55,6 +56,21 @@ def evaluation_set(captions: DataFrame, caption_vectors: DataFrame, image_vector
     return retrieve.EvaluationSet(captions.select("caption_id", "image_idx", "language").join(texts, "caption_id"), image_vectors.select(F.col("id").alias("image_idx"), "vec"), anchors)
 
 
+def stored_postings(store: Catalog, data: retrieve.EvaluationSet, config: retrieve.RetrievalConfig, *, overwrite: bool = False) -> DataFrame:
+    """(id, anchor_id, w) of all images, computed once for the options that they depend on.
+
+    Options of the queries (languages, cut-offs, limits) don't count, so runs that differ
+    only in those share the postings.
+    """
+    options = {"model": config.image_model, "modality": "image", "postings": config.fingerprint(index_only=True)}
+
+    def make() -> DataFrame:
+        near = retrieve.image_neighbours(data, config)
+        return relrep.weights(near, proc=config.proc, p=config.p, clamp_min=config.clamp_min).select("id", "anchor_id", "w")
+
+    return store.build("postings", options, make, overwrite=overwrite)
+
+
 def run_grid(
     store: Catalog,
     data: dict[tuple[str, str], retrieve.EvaluationSet],
