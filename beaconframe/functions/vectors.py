@@ -27,16 +27,19 @@ def norm(v: Column | str) -> Column:
     return F.sqrt(F.aggregate(_col(v), F.lit(0.0), lambda s, x: s + x * x))
 
 
+def _divided(v: Column, n: Column) -> Column:
+    """Each component over ``n``, which is evaluated once; inside a lambda it would be for each component."""
+    return F.zip_with(v, F.array_repeat(n, F.size(v)), lambda x, y: x / y)
+
+
 def l2_normalize(v: Column | str, eps: float = EPS) -> Column:
     """v / max(|v|, eps): a zero vector stays zero."""
-    n = F.greatest(norm(v), F.lit(eps))
-    return F.transform(_col(v), lambda x: x / n)
+    return _divided(_col(v), F.greatest(norm(v), F.lit(eps)))
 
 
 def l2_normalize_additive(v: Column | str, eps: float = EPS) -> Column:
     """v / (|v| + eps)."""
-    n = norm(v) + F.lit(eps)
-    return F.transform(_col(v), lambda x: x / n)
+    return _divided(_col(v), norm(v) + F.lit(eps))
 
 
 def masked_mean_pool(hidden: Column | str, mask: Column | str | None = None) -> Column:

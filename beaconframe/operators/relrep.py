@@ -47,15 +47,15 @@ def ground_truth_rank(found: DataFrame, truth: DataFrame, n_images: Column, keys
     """
     s, at, g = F.col("score"), F.col("image_idx"), F.col("gt_score")
     on = [*keys, "caption_id"]
-    gt = found.join(truth.select(*on, "gt"), on).where(at == F.col("gt")).select(*on, F.col("score").alias("gt_score"))
-    known = truth.join(gt, on, "left").withColumn("gt_score", F.coalesce("gt_score", F.lit(0.0)))
-    ahead = found.join(known.select(*on, "gt", "gt_score"), on)
-    counted = ahead.groupBy(*on).agg(
-        F.count_if((s > g) | ((s == g) & (at < F.col("gt")))).alias("ahead"), F.count(F.lit(1)).alias("stored"), F.count_if(at < F.col("gt")).alias("before")
+    mine = F.max(F.when(at == F.col("gt"), s)).over(Window.partitionBy(*on))
+    stored = found.join(truth.select(*on, "gt"), on).withColumn("gt_score", F.coalesce(mine, F.lit(0.0)))
+    counted = stored.groupBy(*on).agg(
+        F.first("gt_score").alias("gt_score"), F.count_if((s > g) | ((s == g) & (at < F.col("gt")))).alias("ahead"), F.count(F.lit(1)).alias("stored"), F.count_if(at < F.col("gt")).alias("before")
     )
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    g = F.coalesce(F.col("gt_score"), F.lit(0.0))
     unstored = F.when(g < 0, n_images - n("stored")).when(g == 0, F.col("gt") - n("before")).otherwise(0)
-    return known.join(counted, on, "left").withColumn("rank", (1 + n("ahead") + unstored).cast("long")).drop("ahead", "stored", "before", "gt_score")
+    return truth.join(counted, on, "left").withColumn("rank", (1 + n("ahead") + unstored).cast("long")).drop("ahead", "stored", "before", "gt_score")
 
 
 def posting_counts(representations: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ def make_encoder(name: str, default: str | None = None) -> Callable[[], Encoder]
 def letter_frequencies(text: Column | str) -> Column:
     """How often each letter a to z is in the lower-cased text, as 26 numbers."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)
-    return F.array(*((F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in ascii_lowercase))
+    # The letters are single bytes, so bytes are counted and not characters.
+    return F.array(*((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in ascii_lowercase))
 
 
 def encode(rows: DataFrame, item: str, load: Callable[[], Encoder], *, out: str = "vec", batch_rows: int = 64, normalize: bool = False, by_language: bool = False) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from beaconframe.functions import vectors
 from beaconframe.functions.ids import dense_ids
+from beaconframe.functions.scratch import materialize
 from beaconframe.functions.names import file_safe, infer_model_type, numeric, one_line, percent_label, percent_to_count, short_title
 from beaconframe.operators import analysis, evaluate, relrep, select, topk
 from beaconframe.sources import captions as cap
@@ -39,7 +40,9 @@ def config(**options) -> retrieve.RetrievalConfig:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = dense_ids(table(spark, sf_dir, "embeddings").select("vec_id", "label", vectors.doubles("embedding").alias("e")), "idx", "vec_id")
+    # Ids are given once; the parts of a plan all read the numbered table.
+    numbered = materialize(dense_ids(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"), "idx", "vec_id"), "items")
+    e = numbered.withColumn("e", vectors.doubles("embedding"))
     return e.select("idx", F.col("label").cast("string").alias("language"), "e", F.slice("e", 1, 48).alias("iv"), F.slice("e", 17, 48).alias("tv"))
 
 
@@ -550,7 +553,9 @@ def cls_pool(spark, sf_dir):
 @query
 def rr_from_documents(spark, sf_dir):
     """From texts to representations: documents against the benchmark's passages as anchors."""
-    unit = lambda t: vectors.l2_normalize(encoders.letter_frequencies(t))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), unit("text").alias("vec"))
-    bank = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("anchor_id"), unit("text").alias("vec"))
+    def embedded(name: str, id_col: str, out: str) -> DataFrame:
+        counted = materialize(table(spark, sf_dir, name).select(F.col(id_col).alias(out), encoders.letter_frequencies("text").alias("v")), "letters")
+        return counted.select(out, vectors.l2_normalize("v").alias("vec"))
+
+    docs, bank = embedded("documents", "doc_id", "id"), embedded("benchmark", "item_id", "anchor_id")
     return relrep.weights(topk.top_k(docs, bank, 5), proc="asif", p=P).select("id", "anchor_id", "rk", F.round("w", 6).alias("w"))

@@ -81,6 +81,13 @@ def queries_of(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
     return select.select_queries(data.captions, languages=list(config.languages) if config.languages else None, first_per_image_language=config.first_per_image_language, max_queries=config.max_queries)
 
 
+def chosen_captions(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
+    """The captions of the queries with their vectors; all of them if nothing is selected."""
+    if not config.languages and not config.first_per_image_language and config.max_queries is None:
+        return data.captions
+    return data.captions.join(queries_of(data, config).select("caption_id"), "caption_id", "left_semi")
+
+
 def _unit(rows: DataFrame, id_col: str) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), l2_normalize(F.col("vec").cast("array<double>")).alias("vec"))
 
@@ -90,8 +97,7 @@ def image_neighbours(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
 
 
 def caption_neighbours(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
-    wanted = data.captions.join(queries_of(data, config).select("caption_id"), "caption_id", "left_semi")
-    return data.neighbours(_unit(wanted, "caption_id"), "txt_vec", config)
+    return data.neighbours(_unit(chosen_captions(data, config), "caption_id"), "txt_vec", config)
 
 
 def ranks(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
@@ -111,8 +117,7 @@ def retrieve_dense(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
     """Recall and MRR of plain cosine in one shared space."""
     most = max(config.ks)
     images = _unit(data.images, "image_idx").withColumnRenamed("id", "anchor_id")
-    wanted = data.captions.join(queries_of(data, config).select("caption_id"), "caption_id", "left_semi")
-    best = topk.top_k(_unit(wanted, "caption_id"), images, most, method=config.method)
+    best = topk.top_k(_unit(chosen_captions(data, config), "caption_id"), images, most, method=config.method)
     truth = queries_of(data, config)
     hit = best.select(F.col("id").alias("caption_id"), F.col("anchor_id").alias("gt"), F.col("rk").alias("rank"))
     return evaluate.recall_table(truth.join(hit, ["caption_id", "gt"], "left"), list(config.ks), mrr=True)
@@ -157,8 +162,7 @@ def subset_ablation(data: EvaluationSet, config: RetrievalConfig, subsets: DataF
         return relrep.weights(best, proc=config.proc, p=config.p, clamp_min=config.clamp_min, keys=("subset_id", "id"))
 
     whole = RetrievalConfig(**{**asdict(config), "anchor_n": None})
-    wanted = data.captions.join(queries_of(data, config).select("caption_id"), "caption_id", "left_semi")
-    texts = represented(_unit(wanted, "caption_id"), data.bank("txt_vec", whole))
+    texts = represented(_unit(chosen_captions(data, config), "caption_id"), data.bank("txt_vec", whole))
     images = represented(_unit(data.images, "image_idx"), data.bank("img_vec", whole))
     found = relrep.scores(texts, images, keys=("subset_id",))
     truth = queries_of(data, config).crossJoin(subsets.select(F.col("subset_id").cast("string").alias("subset_id")).distinct()).crossJoin(data.images.agg(F.count(F.lit(1)).alias("n_images")))
