@@ -2,55 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from beaconframe.functions.scratch import materialize, scratch_path, shared_dir
+
+__all__ = ["ASCII_SPACE", "WORD", "batches", "column", "materialize", "scratch_path", "shared_dir", "table"]
+
 #: Java and Python regular expression of a word: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: The ASCII white space that ``bytes.split()`` and ``bytes.strip()`` also use.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset (tests on one
-    machine) a temporary folder is made, once a process.
-    """
-    global _own_dir
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _own_dir is None:
-        _own_dir = "file://" + tempfile.mkdtemp(prefix="beaconframe-")
-    return _own_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that is deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a slim intermediate result to the shared folder and read it again.
-
-    This cuts the lineage, so a lost executor costs the tasks that read the files and not
-    what made them, and a result that is used twice is computed once.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
