@@ -111,8 +111,9 @@ _LINKS = "node long, ids array<long>, scores array<float>"
 
 
 def _first_links(nodes: DataFrame, n: int, dim: int, k: int, leaf_rows: int, trees: int, seed: int) -> DataFrame:
-    """(node, ids, scores): for each tree, the best of the node's leaf."""
+    """(node, ids, scores): for each tree, the best of the node's leaf; and of leaves dealt at random, so that nodes alone in their leaves have links too."""
     bits = max(0, math.ceil(math.log2(max(1, n) / leaf_rows)))
+    random_leaves = max(1, n // leaf_rows)
 
     def deal(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((trees, bits, dim)).astype(np.float32)
@@ -123,7 +124,11 @@ def _first_links(nodes: DataFrame, n: int, dim: int, k: int, leaf_rows: int, tre
             for tree in range(trees):
                 side = codes @ planes[tree].T > 0 if bits else np.zeros((len(codes), 0), bool)
                 leaf = side @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(codes), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf * trees + tree), *(column(batch, c) for c in ("node", "code", "scale"))], names=["leaf", "node", "code", "scale"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * (trees + 1) + tree), *(column(batch, c) for c in ("node", "code", "scale"))], names=["leaf", "node", "code", "scale"])
+            if bits:
+                mixed = column(batch, "node").to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+                leaf = (mixed % np.uint64(random_leaves)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf * (trees + 1) + trees), *(column(batch, c) for c in ("node", "code", "scale"))], names=["leaf", "node", "code", "scale"])
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for leaf in _blocks(parts, 2 * leaf_rows):
@@ -219,9 +224,10 @@ def _graph_batch(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _gathered(graph: DataFrame, most: int) -> DataFrame:
+def _gathered(graph: DataFrame, most: int, k: int) -> DataFrame:
     """(hub, node, code, scale, worst, fresh), rows of a hub together: its neighbours, and up to ``most`` nodes that it is a neighbour of."""
-    worst = F.array_min("scores")
+    # A node with room takes any neighbour.
+    worst = F.when(F.size("ids") >= k, F.array_min("scores")).otherwise(F.lit(float("-inf")).cast("float"))
     links = graph.select("node", F.posexplode("ids").alias("at", "other"), "fresh").select("node", "other", F.col("fresh")[F.col("at")].alias("fresh"))
     own = graph.select(F.col("node").alias("own"), "code", "scale", worst.alias("worst"))
     there = links.join(own, F.col("other") == F.col("own")).select(F.col("node").alias("hub"), F.col("other").alias("node"), "code", "scale", "worst", "fresh", F.lit(True).alias("out"))
@@ -231,7 +237,7 @@ def _gathered(graph: DataFrame, most: int) -> DataFrame:
     return there.union(back).withColumn("rank", rank).where(F.col("rank") <= most).drop("rank", "out")
 
 
-def _descend(graph: DataFrame, most: int) -> DataFrame:
+def _descend(graph: DataFrame, most: int, k: int) -> DataFrame:
     """What a round finds: for each node, better neighbours among those that share a hub with it."""
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +263,7 @@ def _descend(graph: DataFrame, most: int) -> DataFrame:
         if nodes:
             yield _links_batch(nodes, ids, scores)
 
-    return _gathered(graph, most).mapInArrow(compare, _LINKS)
+    return _gathered(graph, most, k).mapInArrow(compare, _LINKS)
 
 
 def _links_batch(nodes: list, ids: list, scores: list) -> pa.RecordBatch:
@@ -273,7 +279,7 @@ def build_graph(vectors: DataFrame, *, k: int = 24, leaf_rows: int = 2048, trees
     bare = nodes.withColumn("ids", F.expr("CAST(array() AS array<long>)")).withColumn("scores", F.expr("CAST(array() AS array<float>)"))
     graph = materialize(_merge(bare, _first_links(nodes, n, size or 1, k, leaf_rows, trees, seed), k), "ann-graph")
     for _ in range(rounds):
-        graph = materialize(_merge(graph, _descend(graph, 2 * k), k), "ann-graph")
+        graph = materialize(_merge(graph, _descend(graph, 2 * k, k), k), "ann-graph")
         _release(spark)
         changed, links = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         if not links or changed <= settled * links:
@@ -299,7 +305,7 @@ def build_adjacency(graph: DataFrame, *, degree: int = 40, bucket_bytes: int = 8
     n, size = graph.agg(F.count(F.lit(1)), F.max(F.length("code"))).first()
     buckets = max(8, math.ceil(n * degree * ((size or 0) + 12) / bucket_bytes))
     name = f"ann_{uuid.uuid4().hex}"
-    table = _gathered(graph, degree).mapInArrow(rows, _ADJACENT).repartition(buckets, "node")
+    table = _gathered(graph, degree, 1).mapInArrow(rows, _ADJACENT).repartition(buckets, "node")
     table.write.bucketBy(buckets, "node").sortBy("node").option("path", scratch_path(spark, "ann-adjacent")).saveAsTable(name)
     return spark.table(name), name
 
@@ -361,6 +367,35 @@ def search_graph(queries: DataFrame, adjacency: DataFrame, *, beam: int = 256, h
     return state.select("query", "ids", "scores")
 
 
+def _compare_all(short: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
+    """(query, other): for each node of ``short`` (query), the best ``most`` of each block of ``nodes`` (id, vec), ties and the node included."""
+
+    def packed(id_name: str, matrix: str, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches(parts, size):
+                if batch.num_rows:
+                    m = _floats(column(batch, "vec")).astype(np.float64)
+                    yield pa.RecordBatch.from_arrays([_lists(column(batch, "id").to_numpy(), [len(m)]), pa.array([m.tobytes()], pa.binary())], names=[id_name, matrix])
+
+        return rows
+
+    def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts, 1):
+            q, n = (column(batch, c).flatten().to_numpy() for c in ("queries", "others"))
+            a, b = (np.frombuffer(column(batch, c)[0].as_py()).reshape(len(x), -1) for c, x in (("qm", q), ("om", n)))
+            s = a @ b.T
+            top = min(most, len(n))
+            limit = np.partition(s, len(n) - top, axis=1)[:, len(n) - top]
+            # Sums in another order differ in the last places; the final scores decide.
+            slack = 1e-9 * np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max()
+            x, y = np.nonzero(s >= (limit - slack)[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(q[x]), pa.array(n[y])], names=["query", "other"])
+
+    asked = nodes.join(short, F.col("id") == F.col("query"), "left_semi").select("id", "vec")
+    asked = asked.mapInArrow(packed("queries", "qm", 256), "queries array<long>, qm binary")
+    return asked.crossJoin(nodes.select("id", "vec").mapInArrow(packed("others", "om", 2048), "others array<long>, om binary")).mapInArrow(multiply, "query long, other long")
+
+
 def nearest(
     vectors: DataFrame,
     is_query: Column,
@@ -378,7 +413,8 @@ def nearest(
     """(query_id, rank, id, score): the ``top`` nearest found to each row of ``vectors`` where ``is_query`` holds.
 
     Nearest is the largest inner product in double precision; ties go to the smaller id, and
-    a row is not its own neighbour.  All usable rows are indexed.
+    a row is not its own neighbour.  All usable rows are indexed.  Queries for which the
+    search finds fewer than ``top`` candidates, though there are more, are compared with all.
 
     Rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do those whose length is not the most common one.  Rows
@@ -408,13 +444,26 @@ def nearest(
 
     close = found.select("query", F.explode(F.slice(F.reverse(F.array_sort(F.arrays_zip(F.col("scores"), F.col("ids")))), 1, rescore)).alias("x")).select("query", F.col("x.ids").alias("other"))
     a, b = nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
-    scored = close.join(a, F.col("query") == F.col("a")).join(b, F.col("other") == F.col("b")).select("query", "other", inner_product(F.col("va"), F.col("vb")).alias("score"))
-    scored = materialize(scored, "ann-scores")
     # No query can use more than the first top + 1 ids of a vector.
     first_ids = members.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("id"))).where(F.col("nth") <= top + 1)
-    listed = scored.join(first_ids.select(F.col("node").alias("of"), F.col("id").alias("candidate")), F.col("other") == F.col("of")).select("query", "candidate", "score")
+    first_ids = first_ids.select(F.col("node").alias("of"), F.col("id").alias("candidate"))
     in_query = Window.partitionBy("query").orderBy(F.desc("score"), "candidate")
-    listed = materialize(listed.withColumn("nth", F.row_number().over(in_query)).where(F.col("nth") <= top + 1), "ann-listed")
+
+    def scores(close: DataFrame) -> DataFrame:
+        scored = close.join(a, F.col("query") == F.col("a")).join(b, F.col("other") == F.col("b")).select("query", "other", inner_product(F.col("va"), F.col("vb")).alias("score"))
+        scored = materialize(scored, "ann-scores")
+        listed = scored.join(first_ids, F.col("other") == F.col("of")).select("query", "candidate", "score")
+        return materialize(listed.withColumn("nth", F.row_number().over(in_query)).where(F.col("nth") <= top + 1), "ann-listed")
+
+    listed = scores(close)
+    enough = min(top, members.select("id").distinct().count() - 1)
+    had = asked.join(listed, F.col("node") == F.col("query")).where("candidate != query_id").groupBy(F.col("query_id").alias("had_id")).count()
+    short = asked.join(had, F.col("query_id") == F.col("had_id"), "left").where(F.coalesce("count", F.lit(0)) < enough).select(F.col("node").alias("query")).distinct()
+    short = materialize(short, "ann-short")
+    if short.limit(1).count():
+        # The node itself is among the best, and top + 1 ids are listed.
+        whole = scores(_compare_all(short, nodes, top + 1).distinct())
+        listed = listed.join(short, "query", "left_anti").select("query", "candidate", "score").union(whole.select("query", "candidate", "score"))
     answered = asked.join(listed, F.col("node") == F.col("query")).where("candidate != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "candidate"))
     return answered.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("candidate").alias(id_col), "score")
