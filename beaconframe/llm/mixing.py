@@ -9,11 +9,12 @@ ranking's last cell is taken, the one nearest to what is still missing, if that
 sum nearer to the target.
 
 Scale: no source is ever sorted in one task.  The ranking is cut into cells of about
-``cell_rows`` documents; cells are summed with map-side combine, a running sum over the
-cells finds the one where the sample ends, and only that cell is ordered.  What comes out is
-one row for each source with the last place of the ranking that is taken, so that documents
-are decided one by one in a join with that small table.  Random numbers are hashes of seed
-and id: reruns and retried tasks agree.
+``cell_rows`` documents, summed with map-side combine, and cells into blocks; running sums
+over a source's blocks and then over one block's cells find the cell where the sample ends,
+and only that cell is ordered.  What comes out is one row for each source with the last
+place of the ranking that is taken, so that documents are decided one by one in a join with
+that small table.  Random numbers are hashes of seed and id: reruns and retried tasks agree.
+Places are written once, so that the later steps read plain columns.
 """
 
 from __future__ import annotations
@@ -21,24 +22,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import ASCII_SPACE, WORD, materialize
 
 _WHOLE = (Window.unboundedPreceding, Window.unboundedFollowing)
+_CELLS_PER_BLOCK = 4096
 
 
 def _once(value: Column) -> Column:
     """``value``, behind a condition that is true for every row and that Spark moves no filter past.
 
-    A filter on the column would else be copied down into joins with its whole expression,
-    and that again for each column it is made of: code of such a size that compiling it
-    takes more memory than the data.
+    The filter that an explode implies would else repeat the whole decision below the join.
     """
     return F.when(F.monotonically_increasing_id() >= 0, value)
 
 
+def _is(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
+
+
 def word_count(text: Column) -> Column:
-    """Words of the whole text as long; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of the whole text as long; 0 for null.  Words become one letter each, without a list of them."""
+    return F.coalesce(F.length(F.translate(F.regexp_replace(text, WORD, "w"), ASCII_SPACE, "")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
@@ -65,70 +69,105 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return shared.withColumn("target", target).drop("n", "weight", "limit", "level", "stops")
 
 
-def _draw(id_col: str, seed: int) -> Column:
+def _draw(id_col: Column, seed: int) -> Column:
     """A number in (0, 1) from 52 bits of a hash of seed and id."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))), 1, 13), 16, 10)
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_col.cast("string"), F.lit("null")))), 1, 13), 16, 10)
     return (bits.cast("double") + 0.5) / 4503599627370496.0
 
 
-def _placed(docs: DataFrame, per_source: DataFrame, most: int, seed: int) -> DataFrame:
-    """``docs`` (id, source, size, weight) with certain copies and the place in the ranking.
+def _placed(docs: DataFrame, per_source: DataFrame, most: int) -> DataFrame:
+    """``docs`` (id, source, size, weight, u, ...) with certain copies and the place in the ranking.
 
     place runs over (0, 1) and is null for documents that have no part in the sample.
     """
-    rate = F.col("target") * F.col("weight") / F.col("weighed")
-    copies = F.least(F.when(F.col("weighed") > 0, rate).otherwise(0.0), F.lit(float(most)))
-    odds, u = F.col("chance") / (1.0 - F.col("chance")), F.col("u")
+    copies = F.least(F.when(F.col("weighed") > 0, F.col("target") * F.col("weight") / F.col("weighed")).otherwise(0.0), F.lit(float(most)))
+    odds = F.when(F.col("chance") > 0, (F.col("u") / (1.0 - F.col("u"))) / (F.col("chance") / (1.0 - F.col("chance"))))
     return (
-        docs.join(per_source.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        docs.join(per_source.withColumnRenamed("source", "_source"), _is("source", "_source")).drop("_source")
         .withColumn("copies", copies).withColumn("certain", F.floor("copies")).withColumn("chance", F.col("copies") - F.col("certain"))
-        .withColumn("u", _draw("id", seed))
-        .withColumn("q", F.when(F.col("chance") > 0, (u / (1.0 - u)) / odds))
-        .withColumn("place", _once(F.col("q") / (1.0 + F.col("q"))))
-        .drop("u", "q", "copies")
+        .withColumn("odds", odds).withColumn("place", F.col("odds") / (1.0 + F.col("odds")))
+        .drop("copies", "chance", "odds")
+    )
+
+
+def _end_cells(cells: DataFrame, per_source: DataFrame) -> DataFrame:
+    """(source, end_cell, before, gap) of sources whose sample ends within the ranking.
+
+    ``cells`` has (source, cell, fixed, words); gap is what the sample may take, before what
+    the cells before the end take.  Blocks of cells are gone through first, then one block.
+    """
+    gaps = (
+        cells.groupBy("source").agg(F.sum("fixed").alias("fixed"))
+        .join(per_source.select(F.col("source").alias("_source"), "target"), _is("source", "_source"))
+        .select("_source", (F.col("target") - F.col("fixed")).alias("gap"))
+    )
+    ranked = cells.where("cell IS NOT NULL").withColumn("block", F.floor(F.col("cell") / _CELLS_PER_BLOCK))
+    until = lambda by: F.sum("words").over(Window.partitionBy("source").orderBy(by))
+    blocks = ranked.groupBy("source", "block").agg(F.sum("words").alias("words")).withColumn("until", until("block"))
+    block = (
+        blocks.join(gaps, _is("source", "_source")).where("until > gap")
+        .groupBy("source").agg(F.min(F.struct("block", (F.col("until") - F.col("words")).alias("before"), "gap")).alias("end"))
+        .select(F.col("source").alias("_source"), F.col("end.block").alias("end_block"), F.col("end.before").alias("block_before"), "end.gap")
+    )
+    return (
+        ranked.join(block, _is("source", "_source") & (F.col("block") == F.col("end_block")))
+        .withColumn("until", F.col("block_before") + until("cell")).where("until > gap")
+        .groupBy("source").agg(F.min(F.struct("cell", (F.col("until") - F.col("words")).alias("before"), "gap")).alias("end"))
+        .select("source", F.col("end.cell").alias("end_cell"), "end.before", "end.gap")
     )
 
 
-def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 42, cell_rows: int = 1000) -> DataFrame:
-    """One row for each source: sizes, target, and the place where its sample ends.
+def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, cell_rows: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Where each source's sample ends, and the documents with their places.
 
-    ``docs`` has (id, source, size, weight).  Columns: source, source_size, weighed, target,
-    last and extra; the documents up to ``last`` in the order of (place, id, size) are in the
-    sample, and so is ``extra``.
+    ``docs`` has (id, source, size, weight, u).  The plan has a row for each source: source,
+    source_size, weighed, target, n_cells, ends, last and extra.  Where ``ends`` holds, the
+    documents up to ``last`` in the order of (place, id, size) are in the sample, and so is
+    ``extra``; elsewhere all are that have a place.
     """
     sizes = docs.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).cast("double").alias("weighed"),
         F.ceil(F.count(F.lit(1)) / F.lit(cell_rows)).cast("long").alias("n_cells"),
     )
     per_source = materialize(source_targets(sizes, weights, most), "mix-sources")
-    placed = _placed(docs, per_source, most, seed).withColumn("cell", F.floor(F.col("place") * F.col("n_cells")))
-    by_cell = Window.partitionBy("source").orderBy(F.col("cell").asc_nulls_first())
-    cells = (
-        placed.groupBy("source", "cell", "target")
-        .agg(F.sum(F.col("certain") * F.col("size")).alias("fixed"), F.sum(F.when(F.col("cell").isNotNull(), F.col("size")).otherwise(0)).alias("words"))
-        .withColumn("gap", F.col("target") - F.sum("fixed").over(Window.partitionBy("source")))
-        .withColumn("until", F.sum("words").over(by_cell))
-        .where(F.col("cell").isNotNull() & (F.col("until") > F.col("gap")))
-        .groupBy("source").agg(F.min(F.struct("cell", (F.col("until") - F.col("words")).alias("before"), "gap")).alias("end"))
-        .select(F.col("source").alias("_source"), "end.*").withColumnRenamed("cell", "end_cell")
+    rank = F.struct("place", "id", "size")
+    placed = _placed(docs, per_source, most).select("id", "source", "size", "source_size", "target", "certain", "place", F.floor(F.col("place") * F.col("n_cells")).alias("cell"))
+    placed = materialize(placed, "mix-places")
+    cells = placed.groupBy("source", "cell").agg(
+        F.sum(F.col("certain") * F.col("size")).alias("fixed"), F.sum(F.when(F.col("cell").isNotNull(), F.col("size")).otherwise(0)).alias("words"),
+        F.max(F.when(F.col("cell").isNotNull(), rank)).alias("top"),
+    )
+    cells = materialize(cells, "mix-cells")
+    ends = materialize(_end_cells(cells, per_source), "mix-ends").withColumnRenamed("source", "_source")
+
+    # Rows that are equal in place, id and size share their fate.
+    same = placed.join(ends, _is("source", "_source") & (F.col("cell") == F.col("end_cell"))).groupBy("source", "place", "id", "size", "gap", "before").agg(F.sum("size").alias("mine"))
+    in_order = Window.partitionBy("source").orderBy("place", "id", "size")
+    miss = F.col("gap") - F.coalesce(F.max(F.when(F.col("sum") <= F.col("gap"), F.col("sum"))).over(in_order.rowsBetween(*_WHOLE)), F.col("before"))
+    off = F.abs(F.col("mine") - F.col("miss"))
+    last = (
+        same.withColumn("sum", F.col("before") + F.sum("mine").over(in_order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("miss", miss)
+        .groupBy("source").agg(
+            F.max(F.when(F.col("sum") <= F.col("gap"), rank)).alias("in_cell"),
+            F.min(F.when((F.col("sum") > F.col("gap")) & (off < F.col("miss")), F.struct(off.alias("off"), rank.alias("rank")))).alias("extra"),
+        ).select(F.col("source").alias("_last_source"), "in_cell", "extra.rank")
     )
-    end = placed.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("cell") == F.col("end_cell")))
-    rank, mine = F.struct("place", "id", "size"), Window.partitionBy("source")
-    peers = Window.partitionBy("source", "place", "id", "size")
-    miss = F.col("gap") - F.coalesce(F.max(F.when(F.col("in"), F.col("sum"))).over(mine), F.col("before"))
-    ended = (
-        end.withColumn("rank", rank)
-        .withColumn("sum", F.col("before") + F.sum("size").over(mine.orderBy("rank").rangeBetween(Window.unboundedPreceding, 0)))
-        .withColumn("mine", F.sum("size").over(peers))
-        .withColumn("in", F.col("sum") <= F.col("gap"))
-        .withColumn("miss", miss)
-        .withColumn("off", F.when(~F.col("in") & (F.abs(F.col("mine") - F.col("miss")) < F.col("miss")), F.abs(F.col("mine") - F.col("miss"))))
-        .groupBy("source", "end_cell")
-        .agg(F.max(F.when(F.col("in"), F.col("rank"))).alias("last"), F.min_by("rank", F.when(F.col("off").isNotNull(), F.struct("off", "rank"))).alias("extra"))
-        .withColumnRenamed("source", "_source")
+    earlier = (
+        cells.join(ends, _is("source", "_source") & (F.col("cell") < F.col("end_cell")))
+        .groupBy("source").agg(F.max("top").alias("top")).select(F.col("source").alias("_top_source"), "top")
     )
-    plan = per_source.join(ended, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return materialize(plan, "mix-plan")
+    plan = (
+        per_source.join(ends, _is("source", "_source"), "left").join(last, _is("source", "_last_source"), "left").join(earlier, _is("source", "_top_source"), "left")
+        .select("source", "source_size", "weighed", "target", "n_cells", F.col("end_cell").isNotNull().alias("ends"), F.coalesce("in_cell", "top").alias("last"), F.col("rank").alias("extra"))
+    )
+    return materialize(plan, "mix-plan"), placed
+
+
+def _copies() -> Column:
+    """How often the mix takes a document, of the columns of its place and its source's plan."""
+    rank = F.struct("place", "id", "size")
+    sampled = F.col("place").isNotNull() & (~F.col("ends") | F.coalesce(rank <= F.col("last"), F.lit(False)) | rank.eqNullSafe(F.col("extra")))
+    return F.col("certain") + F.when(sampled, 1).otherwise(0)
 
 
 def mix(
@@ -157,22 +196,13 @@ def mix(
     their names; only one called ``mix`` is replaced.
     """
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
-    sized = materialize(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight")), "mix-sizes"
-    )
-    plan = plan_mix(sized, weights=weights, most=most, seed=seed, cell_rows=cell_rows)
+    drawn = [F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"), _draw(F.col(id_col), seed).alias("u")]
+    plan, placed = plan_mix(materialize(docs.select(*drawn), "mix-sizes"), weights=weights, most=most, cell_rows=cell_rows)
     if slim:
-        rows = sized
+        ends = plan.select(F.col("source").alias("_source"), "ends", "last", "extra")
+        decided = placed.join(ends, _is("source", "_source")).withColumn("copies", _copies())
     else:
-        rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), weight.alias("weight"), F.struct("*").alias("row"))
-    rank = F.struct("place", "id", "size")
-    in_sample = F.col("place").isNotNull() & (
-        F.col("end_cell").isNull()
-        | (F.floor(F.col("place") * F.col("n_cells")) < F.col("end_cell"))
-        | ((F.floor(F.col("place") * F.col("n_cells")) == F.col("end_cell")) & F.coalesce(rank <= F.col("last"), F.lit(False)))
-        | rank.eqNullSafe(F.col("extra"))
-    )
-    decided = _placed(rows, plan, most, seed).withColumn("copies", _once(F.col("certain") + F.when(in_sample, 1).otherwise(0)))
+        decided = _placed(docs.select(*drawn, F.struct("*").alias("row")), plan, most).withColumn("copies", _once(_copies()))
     mixed = F.struct("size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken")).alias("mix")
     return decided.select(F.col("id").alias(id_col), mixed) if slim else decided.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "mix"), mixed)
 
