@@ -48,11 +48,6 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(F.size("vec") == (length["n"] if length else 0))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of rounds that are over."""
-    spark._jvm.System.gc()
-
-
 def _floats(col: pa.Array) -> np.ndarray:
     """A column of equally long lists as a matrix."""
     return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1)
@@ -273,14 +268,12 @@ def _links_batch(nodes: list, ids: list, scores: list) -> pa.RecordBatch:
 
 def build_graph(vectors: DataFrame, *, k: int = 24, leaf_rows: int = 2048, trees: int = 4, rounds: int = 4, settled: float = 0.02, seed: int = 7) -> DataFrame:
     """The neighbour graph of (id, vec): one row for each vector, with its ``k`` best neighbours."""
-    spark = vectors.sparkSession
     nodes = materialize(_quantize(vectors), "ann-codes")
     n, size = nodes.agg(F.count(F.lit(1)), F.max(F.length("code"))).first()
     bare = nodes.withColumn("ids", F.expr("CAST(array() AS array<long>)")).withColumn("scores", F.expr("CAST(array() AS array<float>)"))
     graph = materialize(_merge(bare, _first_links(nodes, n, size or 1, k, leaf_rows, trees, seed), k), "ann-graph")
     for _ in range(rounds):
         graph = materialize(_merge(graph, _descend(graph, 2 * k, k), k), "ann-graph")
-        _release(spark)
         changed, links = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("ids"))).first()
         if not links or changed <= settled * links:
             break
@@ -314,11 +307,11 @@ _BEAM = "query long, code binary, scale float, ids array<long>, scores array<flo
 
 
 def search_graph(queries: DataFrame, adjacency: DataFrame, *, beam: int = 256, hops: int = 40) -> DataFrame:
-    """(query, ids, scores): the ``beam`` best nodes found for each of ``queries`` (query, code, scale, ids, scores).
+    """(query, ids, scores, is_over): the ``beam`` best nodes found for each of ``queries`` (query, code, scale, ids, scores).
 
-    ``ids`` and ``scores`` are the nodes from which a query sets out.
+    ``ids`` and ``scores`` are the nodes from which a query sets out.  is_over is false for
+    queries that still have nodes to expand after ``hops`` hops.
     """
-    spark = queries.sparkSession
     state = materialize(queries.withColumn("open", F.transform("ids", lambda _: F.lit(True))), "ann-beam")
 
     def score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,10 +354,9 @@ def search_graph(queries: DataFrame, adjacency: DataFrame, *, beam: int = 256, h
         found = found.select(F.col("node").alias("query"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"), "ids", "scores")
         both = state.select("query", "code", "scale", "ids", "scores").union(found)
         state = materialize(both.repartition("query").sortWithinPartitions("query", F.col("code").isNull()).mapInArrow(merge, _BEAM), "ann-beam")
-        _release(spark)
         if not state.where(F.exists("open", lambda x: x)).limit(1).count():
             break
-    return state.select("query", "ids", "scores")
+    return state.select("query", "ids", "scores", (~F.exists("open", lambda x: x)).alias("is_over"))
 
 
 def _compare_all(short: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
@@ -405,7 +397,8 @@ def nearest(
     top: int = 20,
     k: int = 24,
     degree: int = 40,
-    beam: int = 256,
+    beam: int | None = None,
+    hops: int = 40,
     rescore: int = 64,
     rounds: int = 4,
     seed: int = 7,
@@ -414,7 +407,9 @@ def nearest(
 
     Nearest is the largest inner product in double precision; ties go to the smaller id, and
     a row is not its own neighbour.  All usable rows are indexed.  Queries for which the
-    search finds fewer than ``top`` candidates, though there are more, are compared with all.
+    search finds fewer than ``top`` candidates, though there are more, are compared with all,
+    and so are those whose search isn't over after ``hops`` hops.  ``beam`` is by default 16
+    times the binary logarithm of the number of distinct vectors, and 256 at least.
 
     Rows with a null id, and vectors that are null, empty, zero, or hold null or non-finite
     components take no part, nor do those whose length is not the most common one.  Rows
@@ -432,15 +427,18 @@ def nearest(
     nodes = materialize(rows.join(heads, F.col("id") == F.col("head"), "left_semi").dropDuplicates(["id"]), "ann-nodes")
 
     graph = build_graph(nodes, k=k, rounds=rounds, seed=seed)
-    adjacency, name = build_adjacency(graph, degree=degree)
+    beam = beam or max(256, 16 * graph.count().bit_length())
     asked = members.join(marks, F.col("id") == F.col("query_id")).select("query_id", "node").distinct()
     asked = materialize(asked, "ann-queries")
     # Equal queries are searched once, from their own place in the graph.
     starts = graph.join(asked.select(F.col("node").alias("asked")).distinct(), F.col("node") == F.col("asked"), "left_semi")
     own_score = F.lit(float("inf")).cast("float")
     starts = starts.select(F.col("node").alias("query"), "code", "scale", F.concat(F.array("node"), "ids").alias("ids"), F.concat(F.array(own_score), "scores").alias("scores"))
-    found = search_graph(starts, adjacency, beam=beam)
-    vectors.sparkSession.sql(f"DROP TABLE {name}")  # its files go with the session
+    adjacency, name = build_adjacency(graph, degree=degree)
+    try:
+        found = search_graph(starts, adjacency, beam=beam, hops=hops)
+    finally:
+        vectors.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")  # its files go with the session
 
     close = found.select("query", F.explode(F.slice(F.reverse(F.array_sort(F.arrays_zip(F.col("scores"), F.col("ids")))), 1, rescore)).alias("x")).select("query", F.col("x.ids").alias("other"))
     a, b = nodes.select(F.col("id").alias("a"), F.col("vec").alias("va")), nodes.select(F.col("id").alias("b"), F.col("vec").alias("vb"))
@@ -458,7 +456,8 @@ def nearest(
     listed = scores(close)
     enough = min(top, members.select("id").distinct().count() - 1)
     had = asked.join(listed, F.col("node") == F.col("query")).where("candidate != query_id").groupBy(F.col("query_id").alias("had_id")).count()
-    short = asked.join(had, F.col("query_id") == F.col("had_id"), "left").where(F.coalesce("count", F.lit(0)) < enough).select(F.col("node").alias("query")).distinct()
+    short = asked.join(had, F.col("query_id") == F.col("had_id"), "left").where(F.coalesce("count", F.lit(0)) < enough).select(F.col("node").alias("query"))
+    short = short.union(found.where("NOT is_over").select("query")).distinct()
     short = materialize(short, "ann-short")
     if short.limit(1).count():
         # The node itself is among the best, and top + 1 ids are listed.
