@@ -1,10 +1,14 @@
 """Main text of web pages by composite text density.
 
-The page becomes a tree.  Elements that are never part of an article (by tag, role, class
-or id) are cut off; the rest gets a density for every node: characters for each tag,
-corrected by how much of the node is links.  The node with the largest sum of its
-children's densities is the main subtree.  The smallest density on its way up to the body
-is the threshold that decides whether what stands beside it belongs to the text as well.
+The page becomes a tree.  Elements whose tag or role says that they are no text of an
+article are cut off; the rest gets a density for every node: characters for each tag,
+corrected by how much of the node is links.  Text of elements that their class names as
+adverts, notices and the like counts as links do, so that a name alone decides nothing.
+
+The node with the largest sum of its children's densities is the main subtree, and the
+smallest density on its way up to the body is the threshold.  Nodes beside that way that
+reach the threshold are searched for their own largest sums.  What is chosen stays whole,
+but for elements named as no article text that are below the threshold.
 
 Each page is one row in one pass over the scan, without a shuffle.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,13 +26,19 @@ from pyspark.sql import DataFrame
 
 from .common import batches, column
 
+# Each part of a tag can be read in one way only, and none is given back.
 _TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*?)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"'=]+|=\s*+(?>\"[^\"]*\"|'[^']*')?|[\"'])*+)>",
     re.S,
 )
+#: The same without quotes, for what follows a tag that never ends.
+_BARE_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+_BEGIN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
 _HINT = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/>]|$)""", re.I)
-_NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Elements that are opened deeper than this are not nested in each other, so that no way up is long.
+_DEEPEST = 256
 
 # Fixed values of the HTML standard.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,85 +52,113 @@ _ENDS_P = _BLOCK - frozenset("body button caption head html option optgroup sele
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
 
-# What is not article text, by tag, role and the words of class and id.
+# Tags and roles of what is not article text.
 _NOISE_TAGS = frozenset("script style noscript template nav header footer aside form button input select textarea iframe object embed svg canvas audio video dialog menu title head".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Words of classes and ids.  An element is named as no article text if one of its names is
+# made of such words and of words that say only where or what shape it is.
 _COMMENT_WORDS = frozenset("comment comments commentlist respond disqus replies".split())
-_NOISE_WORDS = _COMMENT_WORDS | frozenset(
+_NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie cookies consent gdpr "
     "notice notices popup modal overlay newsletter subscribe subscription signup login sidebar nav navbar navigation menu menus submenu breadcrumb breadcrumbs "
     "masthead header footer related recommended recommendations share sharing social pagination pager toolbar widget widgets search skip".split()
 )
-_ARTICLE_WORDS = frozenset("article post entry story content".split())
+_SHAPE_WORDS = frozenset(
+    "area bar block body bottom box buttons card cards col column container content entry group holder inner item items left link links list main mobile module outer page "
+    "article articles panel post posts right row section site slot stories story text thread top unit wrap wrapper".split()
+)
+_ARTICLE_WORDS = frozenset("article entry post story".split())
 _HOLDS_TEXT = frozenset({"html", "body", "main"})
 
 
 class _Node:
-    __slots__ = ("tag", "up", "items", "words", "role", "hidden", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "depth", "items", "named", "comments", "role", "hidden", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, up: "_Node | None", attributes: str = "") -> None:
-        self.tag, self.up, self.items = tag, up, []
-        self.words, self.role, self.hidden = frozenset(), "", False
+        self.tag, self.up, self.items, self.depth = tag, up, [], 0 if up is None else up.depth + 1
+        self.named, self.comments, self.role, self.hidden = False, False, "", False
         for name, value in _HINT.findall(attributes) if attributes else ():
             name, value = name.lower(), value.strip("\"'")
             if name == "role":
                 self.role = value.lower()
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                self.hidden = name == "hidden"
+                self.hidden = True
             elif name != "aria-hidden":
-                self.words |= {w.lower() for w in _NAME.findall(value)}
+                for one in value.split():
+                    words = {w.lower() for w in _NAME.findall(one)} - {""}
+                    words = {w for w in words if not w.isdigit()}
+                    self.comments = self.comments or bool(words & _COMMENT_WORDS) and words <= _COMMENT_WORDS | _SHAPE_WORDS
+                    if "header" in words and words & _ARTICLE_WORDS:
+                        words.discard("header")  # of an article, and not of the page
+                    self.named = self.named or bool(words & _NOISE_WORDS) and words <= _NOISE_WORDS | _SHAPE_WORDS
         if up is not None:
             up.items.append(self)
 
 
 def parse(page: str) -> _Node:
-    """The tree of a page; elements that the standard ends implicitly end here too."""
+    """The tree of a page; elements that the standard ends implicitly end here too.
+
+    A tag that the page ends in is no text.  If quotes are the reason why a tag never ends,
+    they are not heeded in the rest of the page.
+    """
     root = _Node("html", None)
-    here, at = root, 0
+    here, at, token, opened = root, 0, _TOKEN, Counter()
+
+    def leave(node: _Node) -> None:
+        nonlocal here
+        while here is not node:
+            opened[here.tag] -= 1
+            here = here.up
+
     while True:
-        met = _TOKEN.search(page, at)
-        text = page[at : met.start() if met else len(page)]
+        begin = _BEGIN.search(page, at)
+        text = page[at : begin.start() if begin else len(page)]
         if text:
             here.items.append(html.unescape(text))
-        if met is None:
+        if begin is None:
             return root
+        met = token.match(page, begin.start())
+        if met is None:
+            token = _BARE_TOKEN
+            met = token.match(page, begin.start())
         at, name = met.end(), (met[2] or "").lower()
         if not name:
             continue
         if met[1]:
-            node = here
-            while node is not None and node.tag != name:
-                # The end of an inline element does not end the blocks around it.
-                node = None if name not in _BLOCK and node.tag in _BLOCK else node.up
-            if node is not None and node.up is not None:
-                here = node.up
+            if opened[name]:
+                node = here
+                while node is not None and node.tag != name:
+                    # The end of an inline element does not end the blocks around it.
+                    node = None if name not in _BLOCK and node.tag in _BLOCK else node.up
+                if node is not None and node.up is not None:
+                    leave(node.up)
             continue
-        if name in ("html", "body") and name == "html":
-            root.words |= _Node("html", None, met[3]).words
+        if name == "html":
             continue
-        if name in _ENDS_P:
+        if name in _ENDS_P and opened["p"]:
             node = here
             while node is not None and node.tag != "p" and (node.tag not in _BLOCK):
                 node = node.up
             if node is not None and node.tag == "p" and node.up is not None:
-                here = node.up
+                leave(node.up)
         if name in _SIBLINGS:
-            node, stop = here, _SCOPE.get(name, {"table"})
+            node, stop, to = here, _SCOPE.get(name, {"table"}), here
             while node is not None and node.tag not in stop:
                 if node.tag in _SIBLINGS[name] and node.up is not None:
-                    here = node.up
+                    to = node.up
                     if name in _SCOPE:
                         break
                 node = node.up
-        elif name == "a":
-            node = here
+            leave(to)
+        elif name == "a" and opened["a"]:
+            node, to = here, here
             while node is not None and node.tag not in _BLOCK:
                 if node.tag == "a":
-                    here = node.up
+                    to = node.up
                 node = node.up
+            leave(to)
         elif name == "body":
-            while here.up is not None:
-                here = here.up
+            leave(root)
         node = _Node(name, here, met[3])
         if name in _RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -127,8 +166,9 @@ def parse(page: str) -> _Node:
             if name in ("textarea", "title"):
                 node.items.append(html.unescape(raw))
             at = end.end() if end else len(page)
-        elif name not in _VOID:
+        elif name not in _VOID and here.depth < _DEEPEST:
             here = node
+            opened[name] += 1
 
 
 def _below(node: _Node) -> Iterator[_Node]:
@@ -141,44 +181,16 @@ def _below(node: _Node) -> Iterator[_Node]:
 
 
 def _prune(root: _Node) -> None:
-    """Cut off what is not article text, in all of the tree.
+    """Cut off what its tag, its role or an attribute says is no article text, and reader comments."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        node.items = [x for x in node.items if not (isinstance(x, _Node) and _is_cut(x))]
+        stack += [x for x in node.items if isinstance(x, _Node)]
 
-    An element named like a sidebar or a banner stays if the page's main article stands in
-    it (a wrapper), or if it is the article's own heading.
-    """
-    nodes = list(_below(root))
-    cut: set[int] = set()
-    for node in nodes:
-        if node.tag in _NOISE_TAGS or node.hidden or (node.up is not None and id(node.up) in cut):
-            cut.add(id(node))
-    chars: dict[int, int] = {}
-    heading: set[int] = set()
-    for node in reversed(nodes):
-        own = 0 if id(node) in cut else sum(_visible(x) for x in node.items if isinstance(x, str))
-        chars[id(node)] = own + sum(chars[id(x)] for x in node.items if isinstance(x, _Node))
-        if node.tag == "h1" or any(id(x) in heading for x in node.items if isinstance(x, _Node)):
-            heading.add(id(node))
-    articles = [x for x in nodes if x.tag in ("main", "article") and id(x) not in cut and not x.words & _COMMENT_WORDS]
-    wraps: set[int] = set()
-    up = max(articles, key=lambda x: chars[id(x)], default=None)
-    while up is not None:
-        wraps.add(id(up))
-        up = up.up
-    inside = {id(root): False}
-    for node in nodes[1:]:
-        inside[id(node)] = inside[id(node.up)] or node.up.tag in ("main", "article") or bool(node.up.words & _ARTICLE_WORDS)
-
-    def noise(x: _Node) -> bool:
-        if id(x) in cut:
-            return True
-        if x.tag in _HOLDS_TEXT or id(x) in wraps:
-            return False
-        if id(x) in heading and not x.words & _COMMENT_WORDS and (inside[id(x)] or x.words & _ARTICLE_WORDS):
-            return False
-        return x.role in _NOISE_ROLES or bool(x.words & _NOISE_WORDS)
 
-    for node in nodes:
-        node.items = [x for x in node.items if not (isinstance(x, _Node) and noise(x))]
+def _is_cut(x: _Node) -> bool:
+    return x.tag in _NOISE_TAGS or x.hidden or x.role in _NOISE_ROLES or x.comments and x.tag not in _HOLDS_TEXT
 
 
 def _visible(text: str) -> int:
@@ -188,12 +200,24 @@ def _visible(text: str) -> int:
 def _measure(body: _Node) -> list[_Node]:
     """Densities of the body and all below it, and for each node the sum over its children."""
     nodes = list(_below(body))
+    blocks: dict[int, int] = {}
     for node in reversed(nodes):
         below = [x for x in node.items if isinstance(x, _Node)]
         node.chars = sum(_visible(x) for x in node.items if isinstance(x, str)) + sum(x.chars for x in below)
         node.tags = len(below) + sum(x.tags for x in below)
-        in_link = node.tag == "a"
-        node.link_chars = node.chars if in_link else sum(x.link_chars for x in below)
+        blocks[id(node)] = sum(blocks[id(x)] + (x.tag in _BLOCK) for x in below)
+    # What holds the page's largest article, or most of its text in several blocks, is a wrapper, whatever it is called.
+    wraps: set[int] = set()
+    up = max((x for x in nodes if x.tag in ("article", "main")), key=lambda x: x.chars, default=None)
+    while up is not None:
+        wraps.add(id(up))
+        up = up.up
+    for node in nodes:
+        if node.tag in _HOLDS_TEXT or id(node) in wraps or (2 * node.chars > body.chars and blocks[id(node)] > 1):
+            node.named = False
+    for node in reversed(nodes):
+        below = [x for x in node.items if isinstance(x, _Node)]
+        node.link_chars = node.chars if node.tag == "a" or node.named else sum(x.link_chars for x in below)
         node.link_tags = sum(x.link_tags + (x.tag == "a") for x in below)
     rate = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
@@ -207,8 +231,44 @@ def _measure(body: _Node) -> list[_Node]:
     return nodes
 
 
-def _blocks(node: _Node) -> list[str]:
-    """The texts of a subtree's blocks in page order, white space as single spaces."""
+def _chosen(body: _Node, nodes: list[_Node]) -> tuple[set[int], float]:
+    """The nodes (by identity) whose whole subtrees are the text, and the threshold.
+
+    The node with the largest sum is the first.  On its way up to the body, headings and
+    nodes that reach the threshold and are not mostly links are taken as well: of them the
+    subtrees with their own largest sums.  What stands beside it in its own article or main
+    element is taken whole, if it is not mostly links.
+    """
+    best = max(nodes, key=lambda x: x.total)
+    if not best.total:
+        return {id(body)}, 0.0
+    way, node = [best], best
+    while node is not body:
+        node = node.up
+        way.append(node)
+    threshold = min(x.density for x in way)
+    inner = max((k for k, x in enumerate(way) if x.tag in ("article", "main")), default=0)
+    chosen = {id(best)}
+    for k, up in enumerate(way[1:], 1):
+        for at, x in enumerate(up.items):
+            if not isinstance(x, _Node):
+                if k <= inner or _visible(x) >= threshold:
+                    alone = up.items[at] = _Node("span", None)
+                    alone.items.append(x)
+                    chosen.add(id(alone))
+            elif x is not way[k - 1] and x.chars and 2 * x.link_chars <= x.chars:
+                if k <= inner or x.tag in _HEADINGS:
+                    chosen.add(id(x))
+                elif x.density >= threshold:
+                    chosen.add(id(max(_below(x), key=lambda y: y.total) if x.total >= threshold else x))
+    return chosen, threshold
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _blocks(body: _Node, chosen: set[int], threshold: float) -> list[str]:
+    """The texts of the chosen subtrees' blocks in page order, white space as single spaces."""
     done, run = [], []
 
     def close() -> None:
@@ -217,20 +277,25 @@ def _blocks(node: _Node) -> list[str]:
         if text:
             done.append(text)
 
-    stack: list = [node]
+    stack: list = [(body, False)]
     while stack:
-        x = stack.pop()
+        x, inside = stack.pop()
         if x is close:
             close()
-        elif isinstance(x, str):
-            run.append(x)
+            continue
+        inside = inside or id(x) in chosen
+        if isinstance(x, str):
+            if inside:
+                run.append(x)
+        elif inside and x.named and x.density < threshold and id(x) not in chosen:
+            close()
         elif x.tag in _BLOCK:
             close()
-            stack += [close, *reversed(x.items)]
+            stack += [(close, inside), *((y, inside) for y in reversed(x.items))]
         elif x.tag == "br":
             run.append(" ")
         else:
-            stack += reversed(x.items)
+            stack += [(y, inside) for y in reversed(x.items)]
     close()
     return done
 
@@ -244,31 +309,14 @@ def main_text(page: str | None) -> str:
     if not body.chars:
         body = root
         nodes = _measure(body)
-    best = max(nodes, key=lambda x: x.total)
-    if not best.total:
-        best = body
-    path, node = [best], best
-    while node is not body:
-        node = node.up
-        path.append(node)
-    threshold = min(x.density for x in path)
-    # An article or main element around the subtree is the text; else go up while all that stands beside is as dense.
-    for wanted in ("article", "main"):
-        around = [x for x in path if x.tag == wanted]
-        if around:
-            return "\n".join(_blocks(around[-1]))
-    for up in path[1:]:
-        beside = [x for x in up.items if isinstance(x, _Node) and x is not best and x.chars]
-        if up is body and any(x.link_chars * 2 > x.chars for x in beside) or any(x.density < threshold or x.link_chars * 2 > x.chars for x in beside):
-            break
-        best = up
-    return "\n".join(_blocks(best))
+    return "\n".join(_blocks(body, *_chosen(body, nodes)))
 
 
 def extract_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars) of every row.
 
-    Null and empty pages have an empty text.  Null ids and urls and repeated rows pass
+    Null and empty pages have an empty text.  Of broken markup as much is read as can be;
+    a tag that the page ends in is no text.  Null ids and urls and repeated rows pass
     through, an empty table gives no rows, and other columns are not read.
     """
 
