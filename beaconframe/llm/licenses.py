@@ -4,6 +4,10 @@ Words that are unique to both a stretch of text and a template are anchors; the
 increasing run of anchors is kept, and the gaps between them are aligned in the same way.
 What share of the template's words is matched is its coverage.
 
+Short notices of different licenses differ in a word or two, which coverage can't tell
+apart.  So the words that name a license and its version must be matched in one piece, and
+words of the text between the matched ones count against a match.
+
 A template can only be covered where enough of its words stand close together, so a running
 count of its words over the text finds the stretches to align, exactly and in one pass.
 Each document is scanned by itself, whole, without a shuffle.
@@ -12,7 +16,7 @@ Each document is scanned by itself, whole, without a shuffle.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from typing import NamedTuple
@@ -27,35 +31,94 @@ from .common import batches, column
 class Template(NamedTuple):
     license_id: str
     text: str
-
-
-# Notices as their licenses word them.
-TEMPLATES = (
-    Template("MIT", "Released under the MIT License."),
-    Template("MIT", "Licensed under the MIT License."),
-    Template("MIT", "This work is licensed under the MIT License."),
-    Template("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    Template("Apache-2.0", "Released under the Apache License, Version 2.0."),
-    Template("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    Template("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    Template("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    Template("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    Template("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    Template("CC0-1.0", "Licensed under CC0 1.0."),
-    Template("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    Template("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    Template("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
-    Template("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    Template("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
-    Template("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
-    Template("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    #: Phrases of the text that a notice must have word for word.
+    required: tuple[str, ...] = ()
+
+
+# What notices call the licenses, and how notices begin.
+NAMES = (
+    ("MIT", "the", "MIT License"),
+    ("ISC", "the", "ISC License"),
+    ("Zlib", "the", "zlib License"),
+    ("BSD-2-Clause", "the", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "the", "BSD 3-Clause License"),
+    ("Apache-1.1", "the", "Apache License, Version 1.1"),
+    ("Apache-2.0", "the", "Apache License, Version 2.0"),
+    ("MPL-2.0", "the", "Mozilla Public License, Version 2.0"),
+    ("EPL-2.0", "the", "Eclipse Public License, Version 2.0"),
+    ("GPL-2.0", "the", "GNU General Public License, version 2"),
+    ("GPL-3.0", "the", "GNU General Public License, version 3"),
+    ("LGPL-2.1", "the", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "the", "GNU Lesser General Public License, version 3"),
+    ("AGPL-3.0", "the", "GNU Affero General Public License, version 3"),
+    ("CC0-1.0", "", "CC0 1.0"),
+    ("CC-BY-4.0", "", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "", "CC BY-SA 4.0"),
+    ("CC-BY-ND-4.0", "", "CC BY-ND 4.0"),
+    ("CC-BY-NC-4.0", "", "CC BY-NC 4.0"),
+    ("CC-BY-NC-SA-4.0", "", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-ND-4.0", "", "CC BY-NC-ND 4.0"),
+    ("CC-BY-4.0", "a", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-SA-4.0", "a", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC-BY-ND-4.0", "a", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CC-BY-NC-4.0", "a", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-NC-SA-4.0", "a", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CC-BY-NC-ND-4.0", "a", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+)
+BEGINNINGS = ("Licensed under", "Released under", "Distributed under", "This work is licensed under", "This software is released under")
+
+# Notices and license texts as they are published.
+_PERMISSION = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+    "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+    "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+)
+_NO_WARRANTY = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+    "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_TWO_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution."
+)
+_THIRD_CLAUSE = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_NO_LIABILITY = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED "
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+    "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_LATER = "as published by the Free Software Foundation, either version"
+TEXTS = (
+    Template("MIT", _PERMISSION, ("permission is hereby granted free of charge",)),
+    Template("MIT", f"{_PERMISSION} {_NO_WARRANTY}", ("permission is hereby granted free of charge",)),
+    Template("BSD-2-Clause", f"{_TWO_CLAUSES} {_NO_LIABILITY}", ("redistribution and use in source and binary forms",)),
+    Template("BSD-3-Clause", f"{_TWO_CLAUSES} {_THIRD_CLAUSE} {_NO_LIABILITY}", ("redistribution and use in source and binary forms", "neither the name of")),
     Template(
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
-        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("for any purpose with or without fee",),
+    ),
+    Template(
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+        "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject "
+        "to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this "
+        "software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as "
+        "such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+        ("altered source versions must be plainly marked",),
     ),
     Template(
         "Apache-2.0",
@@ -63,18 +126,19 @@ TEMPLATES = (
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
         "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
         "See the License for the specific language governing permissions and limitations under the License.",
+        ("apache license version 2.0",),
     ),
-    Template(
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    Template(
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    Template("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public license v 2.0",)),
+    *(
+        Template(
+            f"{short}-{version}.0",
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} {_LATER} {version} of the License, or (at your option) any later version.",
+            (f"the {name}".lower(), f"version {version}"),
+        )
+        for short, name, version in (("GPL", "GNU General Public License", 2), ("GPL", "GNU General Public License", 3), ("LGPL", "GNU Lesser General Public License", 3), ("AGPL", "GNU Affero General Public License", 3))
     ),
 )
+TEMPLATES = (*(Template(short, " ".join(filter(None, (begin, article, f"{name}."))), (name,)) for begin in BEGINNINGS for short, article, name in NAMES), *TEXTS)
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -156,11 +220,26 @@ def _common_subsequence(a, b, a0: int, a1: int, b0: int, b1: int) -> list[tuple[
 
 
 class LicenseScanner:
-    """Finds templates in texts.  ``coverage`` is the least share of a template's words that must be aligned."""
+    """Finds templates in texts.
+
+    ``coverage`` is the least share of a template's words that must be aligned, ``purity``
+    the least share of aligned words from the first to the last of them in the text.
+    """
 
-    def __init__(self, templates: Sequence[Template] = TEMPLATES, coverage: float = 0.85, slack: float = 1.25) -> None:
-        self.coverage, self.slack = coverage, slack
-        self.templates = [(t.license_id, w, Counter(w)) for t in templates if (w := license_words(t.text))]
+    def __init__(self, templates: Sequence[Template] = TEMPLATES, coverage: float = 0.85, purity: float = 0.75, slack: float = 1.25) -> None:
+        self.coverage, self.purity, self.slack = coverage, purity, slack
+        self.templates = []
+        for t in templates:
+            words = license_words(t.text)
+            phrases = [license_words(p) for p in t.required]
+            at = [next((k for k in range(len(words)) if words[k : k + len(p)] == p), None) for p in phrases]
+            if None in at:
+                raise ValueError(f"a notice of {t.license_id} does not have all of its required phrases")
+            if words:
+                must = [range(k, k + len(p)) for k, p in zip(at, phrases, strict=True)]
+                # Words that few texts have are asked for first.
+                need = sorted({w for p in phrases for w in p}, key=lambda w: (w in _EVERYDAY, w))
+                self.templates.append((t.license_id, words, Counter(words), must, need))
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, coverage, first word, last word) of each notice, in order of the text.
@@ -171,18 +250,21 @@ class LicenseScanner:
         words = license_words(text)
         there = set(words)
         found = []
-        for no, (name, template, count) in enumerate(self.templates):
+        for no, (name, template, count, must, need) in enumerate(self.templates):
+            if not there.issuperset(need):
+                continue
             least = int(-(-self.coverage * len(template) // 1))
             if sum(n for w, n in count.items() if w in there) >= least:
-                found += [(len(pairs), len(pairs) / len(template), -no, name, pairs[0][0], pairs[-1][0]) for pairs in self._places(words, template, count, least)]
+                found += [(len(pairs), len(pairs) / len(template), -no, name, pairs[0][0], pairs[-1][0]) for pairs in self._places(words, template, count, least, must)]
         found.sort(reverse=True)
-        taken: list[tuple] = []
+        taken: list[tuple[int, int, str, float]] = []  # disjoint, in order
         for _, share, _, name, first, last in found:
-            if all(last < a or first > b for _, _, a, b in taken):
-                taken.append((name, share, first, last))
-        return sorted(taken, key=lambda x: x[2])
+            at = bisect_left(taken, (first,))
+            if (at == 0 or taken[at - 1][1] < first) and (at == len(taken) or taken[at][0] > last):
+                insort(taken, (first, last, name, share))
+        return [(name, share, first, last) for first, last, name, share in taken]
 
-    def _places(self, words: list[str], template: list[str], count: Counter, least: int) -> Iterator[list[tuple[int, int]]]:
+    def _places(self, words: list[str], template: list[str], count: Counter, least: int, must: list[range]) -> Iterator[list[tuple[int, int]]]:
         hits = np.fromiter((w in count for w in words), np.int64, len(words))
         width = int(len(template) * self.slack) + 1
         until = np.concatenate([[0], np.cumsum(hits)])
@@ -192,11 +274,17 @@ class LicenseScanner:
         for at in starts[dense].tolist():
             if at < end:
                 continue
-            pairs = self._around(words, template, at, width, end)
-            if len(pairs) >= least:
+            pairs = _tight(self._around(words, template, at, width, end), words)
+            if len(pairs) >= least and self._is_pure(pairs, must):
                 yield pairs
                 end = pairs[-1][0] + 1
 
+    def _is_pure(self, pairs: list[tuple[int, int]], must: list[range]) -> bool:
+        """Whether few words stand between the aligned ones, and none in a required phrase."""
+        of = {j: i for i, j in pairs}
+        whole = all(p[0] in of and all(of.get(j) == of[p[0]] + j - p[0] for j in p) for p in must)
+        return whole and len(pairs) >= self.purity * (pairs[-1][0] - pairs[0][0] + 1)
+
     @staticmethod
     def _around(words: list[str], template: list[str], at: int, width: int, low: int) -> list[tuple[int, int]]:
         """The best alignment of a stretch from ``at`` on, moved to where its own middle match puts the template."""
@@ -210,6 +298,20 @@ class LicenseScanner:
             at = max(low, i - j - (width - len(template)) // 2)
 
 
+def _tight(pairs: list[tuple[int, int]], words: list[str]) -> list[tuple[int, int]]:
+    """The same alignment with each word of it as near to the middle one as an equal word of the text lets it be."""
+    middle = len(pairs) // 2
+    out = pairs[middle : middle + 1]
+    for i, j in pairs[middle + 1 :]:
+        out.append((next(k for k in range(out[-1][0] + 1, i + 1) if words[k] == words[i]), j))
+    for i, j in reversed(pairs[:middle]):
+        out.insert(0, (next(k for k in range(out[0][0] - 1, i - 1, -1) if words[k] == words[i]), j))
+    return out
+
+
+_EVERYDAY = frozenset("a the of to for in is and or by with without any name use public general version license 2 3 4.0".split())
+
+
 def scan_licenses(
     docs: DataFrame,
     *,
