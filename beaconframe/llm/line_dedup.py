@@ -2,10 +2,11 @@
 
 One pass hashes the lines of all documents to 128 bits and counts, for each distinct line,
 in how many documents it is and which of them is the largest (with map-side combine, so a
-line that all documents share costs one row a task).  The lines that are found often enough
-are the keys of a minimal perfect hash: a shard is a cascade of bit arrays, and a key's slot
-is the rank of its bit.  Slots index compact arrays of fingerprints, counts and keepers.  A
-second pass over the documents probes the arrays; there is no join of lines.
+line that all documents share costs one row a task).  The lines that are in more than one
+document are the keys of a minimal perfect hash: a shard is a cascade of bit arrays, and a
+key's slot is the rank of its bit.  Slots index compact arrays of fingerprints, counts and
+keepers.  A second pass over the documents probes the arrays, and the count decides; there
+is no join of lines.  A line that one document alone holds meets no fingerprint.
 
 Scale: shards hold about ``keys_per_shard`` lines and are built independently.  Up to
 ``broadcast_bytes`` of arrays (the sum of their sizes is known before) go to all workers,
@@ -106,17 +107,19 @@ class PerfectHash:
 
 
 class Shard:
-    """The arrays of one shard: probing gives the keeper of a line, and whether it is indexed."""
+    """The arrays of one shard: probing gives in how many documents a line is, 0 if it isn't indexed, and its keeper."""
 
-    def __init__(self, levels: list[int], bits: bytes, fingerprints: bytes, keepers: bytes) -> None:
+    def __init__(self, levels: list[int], bits: bytes, fingerprints: bytes, counts: bytes, keepers: bytes) -> None:
         self.hash = PerfectHash(levels, bits)
-        self.fingerprints, self.keepers = np.frombuffer(fingerprints, np.uint64), np.frombuffer(keepers, np.int64)
+        self.fingerprints, self.counts, self.keepers = np.frombuffer(fingerprints, np.uint64), np.frombuffer(counts, np.int32), np.frombuffer(keepers, np.int64)
 
     def probe(self, high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         slots = self.hash.slots(high)
         known = slots >= 0
         known[known] = self.fingerprints[slots[known]] == low[known]
-        return known, self.keepers[np.where(known, slots, 0)] if len(self.keepers) else np.zeros(len(high), np.int64)
+        counts, keepers = np.zeros(len(high), np.int32), np.zeros(len(high), np.int64)
+        counts[known], keepers[known] = self.counts[slots[known]], self.keepers[slots[known]]
+        return counts, keepers
 
 
 def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
@@ -128,7 +131,7 @@ def _build_shard(key: tuple, rows: pa.Table) -> pa.Table:
     levels, bits = PerfectHash.build(high)
     slots = PerfectHash(levels, bits).slots(high)
     put = lambda name, kind: (out := np.empty(len(slots), kind), out.__setitem__(slots, rows[name].to_numpy()[order].astype(kind)))[0]
-    arrays = [[key[0].as_py()], [levels], [bits], [put("low", np.int64).tobytes()], [put("n_docs", np.int32).tobytes()], [put("keeper", np.int64).tobytes()]]
+    arrays = [[key[0].as_py()], [levels], [bits], [put("low", np.int64).tobytes()], [np.minimum(put("n_docs", np.int64), np.iinfo(np.int32).max).astype(np.int32).tobytes()], [put("keeper", np.int64).tobytes()]]
     kinds = [pa.int64(), pa.list_(pa.int32()), *[pa.binary()] * 4]
     return pa.table([pa.array(a, k) for a, k in zip(arrays, kinds, strict=True)], names=["shard", "levels", "bits", "fingerprints", "counts", "keepers"])
 
@@ -156,12 +159,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataF
     return docs.select(id_col, text_col).mapInArrow(rows, "high long, low long, keeper long")
 
 
-def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5, keys_per_shard: int = 100_000) -> tuple[DataFrame, int]:
-    """The shards of lines that are in at least ``min_docs`` documents, and how many there are."""
+def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, keys_per_shard: int = 100_000) -> tuple[DataFrame, int]:
+    """The shards of lines that are in more than one row of ``docs``, and how many there are."""
     found = (
         _lines(docs, id_col, text_col, min_chars).groupBy("high", "low")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("keeper").alias("keeper"))
-        .where((F.col("n_docs") >= min_docs) & F.col("keeper").isNotNull())
+        .where((F.col("n_docs") > 1) & F.col("keeper").isNotNull())
     )
     found = materialize(found, "lines")
     n_shards = max(1, -(-found.count() // keys_per_shard))
@@ -194,16 +197,18 @@ def drop_repeated_lines(
     Keys of at least ``min_chars`` code points that are in at least ``min_docs`` rows lose
     all their lines except in the rows with the largest id that holds them.
 
-    A null or empty text is one empty line; a null stays null where the text is returned,
+    Ids are whole numbers that fit a long.  A null or empty text is one empty line; a null stays null where the text is returned,
     and a text of which nothing is left becomes empty.  A row is a document, so rows that
     repeat an id count as several, and all rows with the largest id keep the line.  Null ids
     count, but are never the largest; lines that only rows without an id hold stay.  An
     empty table gives no rows.  Other columns pass through, whatever their names.
     """
+    if min_docs < 2:
+        raise ValueError("a line that one document holds is not repeated")
     spark = docs.sparkSession
-    shards, n_shards = build_index(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs, keys_per_shard=keys_per_shard)
-    arrays = shards.select("shard", "levels", "bits", "fingerprints", "keepers")
-    size = shards.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("keepers"))).first()[0] or 0
+    shards, n_shards = build_index(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, keys_per_shard=keys_per_shard)
+    arrays = shards.select("shard", "levels", "bits", "fingerprints", "counts", "keepers")
+    size = shards.agg(F.sum(F.length("bits") + F.length("fingerprints") + F.length("counts") + F.length("keepers"))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_lines long, n_dropped long, kept_sha256 string" if digest else docs.schema
 
@@ -223,7 +228,7 @@ def drop_repeated_lines(
         sent = spark.sparkContext.broadcast([tuple(r) for r in arrays.collect()])
 
         def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = {r[0]: Shard(r[1], bytes(r[2]), bytes(r[3]), bytes(r[4])) for r in sent.value}
+            index = {r[0]: Shard(r[1], *map(bytes, r[2:])) for r in sent.value}
             for batch in batches(parts):
                 texts, drops = column(batch, text_col).to_pylist(), []
                 for doc, text in zip(column(batch, id_col).to_pylist(), texts, strict=True):
@@ -233,16 +238,16 @@ def drop_repeated_lines(
                     for s in np.unique(of):
                         if s in index:
                             mine = of == s
-                            known, keeper = index[s].probe(high[mine], low[mine])
-                            drop[mine] = known & (keeper != doc if doc is not None else True)
+                            n_docs, keeper = index[s].probe(high[mine], low[mine])
+                            drop[mine] = (n_docs >= min_docs) & (keeper != doc if doc is not None else True)
                     drops.append(at[drop])
                 yield out(batch, texts, drops)
 
         return (docs.select(id_col, text_col) if digest else docs).mapInArrow(rows, schema)
-    return _probe_by_shard(docs, arrays, n_shards, id_col, text_col, min_chars, digest, schema, out)
+    return _probe_by_shard(docs, arrays, n_shards, id_col, text_col, min_chars, min_docs, digest, schema, out)
 
 
-def _probe_by_shard(docs, arrays, n_shards, id_col, text_col, min_chars, digest, schema, out) -> DataFrame:
+def _probe_by_shard(docs, arrays, n_shards, id_col, text_col, min_chars, min_docs, digest, schema, out) -> DataFrame:
     """The way beyond the broadcast: hashes go to the shards, and dropped line numbers come back."""
     salts = 16
 
@@ -268,14 +273,14 @@ def _probe_by_shard(docs, arrays, n_shards, id_col, text_col, min_chars, digest,
                     cell, index = at, None
                 is_shard = column(rows, "levels").is_valid()
                 for r in rows.filter(is_shard).to_pylist():
-                    index = Shard(r["levels"], r["bits"], r["fingerprints"], r["keepers"])
+                    index = Shard(r["levels"], r["bits"], r["fingerprints"], r["counts"], r["keepers"])
                 rows = rows.filter(column(rows, "levels").is_null())
                 if index is None or not rows.num_rows:
                     continue
-                known, keeper = index.probe(column(rows, "high").to_numpy().view(np.uint64), column(rows, "low").to_numpy().view(np.uint64))
+                n_docs, keeper = index.probe(column(rows, "high").to_numpy().view(np.uint64), column(rows, "low").to_numpy().view(np.uint64))
                 ids = column(rows, "doc")
                 other = (ids.fill_null(0).to_numpy() != keeper) | ids.is_null().to_numpy(zero_copy_only=False)
-                hit = pa.array(known & other)
+                hit = pa.array((n_docs >= min_docs) & other)
                 yield pa.RecordBatch.from_arrays([column(rows, n).filter(hit) for n in ("doc", "sum", "line")], names=["doc", "sum", "line"])
 
     lines = docs.select(id_col, text_col).mapInArrow(hashes, "cell long, high long, low long, doc long, line long, sum long")
