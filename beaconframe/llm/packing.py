@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -31,22 +32,39 @@ _FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64
 _SPACE = [("worker", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 
 
-def load_encoder(path: str, pattern: str | None = None) -> Callable[[str], np.ndarray]:
-    """text -> token ids as uint32, from a tokenizers .json file or a .tiktoken file of ranks.
+#: Runs of white space from this length on are left to the .json tokenizer: a backtracking pattern needs a stack as deep as the run.
+_LONG_SPACE = re.compile(r"\s{10000}")
 
-    The string of the special token in a text is that token, as the .json file has it.
+
+def load_encoder(path: str, ranks: str | None = None, pattern: str | None = None) -> Callable[[str], np.ndarray]:
+    """text -> token ids as uint32 of a tokenizers .json file.
+
+    ``ranks`` names the same vocabulary as a .tiktoken file, which with its ``pattern`` is
+    several times as fast.  It takes the texts that it can; the .json file takes the others,
+    which are those with very long runs of white space.  The string of the special token in
+    a text is that token, in both.
     """
-    if path.endswith(".json"):
-        from tokenizers import Tokenizer
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
 
-        tokenizer = Tokenizer.from_file(path)
-        return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+    def whole(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if ranks is None:
+        return whole
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": len(ranks)})
-    return lambda text: coder.encode_to_numpy(text, allowed_special="all")
+    with open(ranks, "rb") as lines:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=known, special_tokens={"<|endoftext|>": len(known)})
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= 10_000 and _LONG_SPACE.search(text):
+            return whole(text)
+        return coder.encode_to_numpy(text, allowed_special="all")
+
+    return encode
 
 
 def cut_lengths(tokens: int, capacity: int, parts: int = 16) -> list[int]:
@@ -113,6 +131,7 @@ def pack(
     docs: DataFrame,
     *,
     vocabulary: str,
+    ranks: str | None = None,
     pattern: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -124,7 +143,8 @@ def pack(
 
     A document is its token ids and then ``end_id``.  start is the number of its ids before
     the piece, offset the number of ids before it in its sequence.  With ``with_ids`` the
-    piece's ids follow as an array.
+    piece's ids follow as an array.  ``vocabulary`` is a tokenizers .json file; ``ranks`` and
+    ``pattern`` may give the same vocabulary in its faster form.
 
     Null and empty texts are the one id ``end_id``.  Null ids and repeated rows are packed
     like any other row, and an empty table gives no rows; other columns are not read.
@@ -149,7 +169,7 @@ def pack(
                 at += length
 
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, worker = load_encoder(vocabulary, pattern), TaskContext.get().partitionId()
+        encode, worker = load_encoder(vocabulary, ranks, pattern), TaskContext.get().partitionId()
         bins, kind = Bins(capacity, worker << 36), None
         for batch in batches(parts):
             kind = column(batch, id_col).type

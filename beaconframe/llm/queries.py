@@ -42,12 +42,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive file by file in a new store; what its last version holds after compaction."""
-    store = shard_store.ShardStore(spark, scratch_path(spark, "store"))
-    kept = shard_store.ingest(store, shard_store.arrivals(table(spark, sf_dir, "documents"))).read()
+    """All documents arrive in small shards in a new store; what its last version holds after compaction."""
+    docs = table(spark, sf_dir, "documents")
+    kept = compacted(docs, scratch_path(spark, "store")).read()
     return kept.select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
+def compacted(docs: DataFrame, root: str) -> shard_store.ShardStore:
+    """A store into which ``docs`` came as shards of 4 MB, or as 64 of them where the table is smaller than that."""
+    store = shard_store.ShardStore(docs.sparkSession, root)
+    store.ingest(docs, shard_rows=min(shard_store.rows_per_shard(docs, 4 << 20), max(1, docs.count() // 64)))
+    return store
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -62,10 +69,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocabulary() -> dict[str, str]:
-    """The public byte-level vocabulary, as ranks; its ids are those of byte_bpe_50k.json."""
+    """The public byte-level vocabulary, and the same as ranks."""
     import public_tokenizers
 
-    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+    return {"vocabulary": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
 
 
 def queries() -> dict[str, Query]:

@@ -7,9 +7,10 @@ file to a name that must not exist, which is atomic, and makes a second writer f
 of overwriting.
 
 Compaction puts shards into tiers by size (each ``growth`` times the one before) and merges
-the shards of a tier when there are ``fan_in`` of them, into files of about the target size.
-A merge reads shards side by side and writes fewer files without a shuffle, so a hot source
-or key makes no difference.
+the shards of a tier when there are ``fan_in`` of them, so many into one, up to files of
+about the target size.  A merge reads shards side by side and writes fewer files without a
+shuffle, so a hot source or key makes no difference, and the runs of all tiers that are due
+are merged at the same time.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -108,10 +110,10 @@ class ShardStore:
             raise ValueError("the store is empty")
         return self._scan(found["shards"], found["schema"])
 
-    def _write(self, rows: DataFrame) -> list[Shard]:
-        """New immutable shards, not yet part of any version.  Files without rows are left out."""
+    def _write(self, rows: DataFrame, max_rows: int = 0) -> list[Shard]:
+        """New immutable shards, not yet part of any version, of up to ``max_rows`` rows (0: one a partition).  Files without rows are left out."""
         name = f"data/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{name}")
+        rows.write.option("maxRecordsPerFile", max_rows).parquet(f"{self.root}/{name}")
         files = self._files(name)
         if not files:
             return []
@@ -119,6 +121,11 @@ class ShardStore:
         n = {r["file"]: r["count"] for r in counts}
         return [Shard(path, size, n[path.rpartition("/")[2]]) for path, size in files if path.rpartition("/")[2] in n]
 
+    def _schema(self, base: dict, rows: DataFrame) -> str:
+        if base["schema"] is not None and [(f.name, f.dataType) for f in T.StructType.fromJson(json.loads(base["schema"]))] != [(f.name, f.dataType) for f in rows.schema]:
+            raise ValueError("the arrival's columns differ from the store's")
+        return base["schema"] or rows.schema.json()
+
     def append(self, rows: DataFrame) -> int:
         """Add an arrival as small shards, one for each of its partitions, and return the new version.
 
@@ -127,10 +134,26 @@ class ShardStore:
         shards.
         """
         base = self.manifest()
-        schema = rows.schema.json()
-        if base["schema"] is not None and [(f.name, f.dataType) for f in T.StructType.fromJson(json.loads(base["schema"]))] != [(f.name, f.dataType) for f in rows.schema]:
-            raise ValueError("the arrival's columns differ from the store's")
-        return self._commit(base, base["schema"] or schema, [*base["shards"], *self._write(rows)])
+        return self._commit(base, self._schema(base, rows), [*base["shards"], *self._write(rows)])
+
+    def ingest(self, rows: DataFrame, *, shard_rows: int, arrival_shards: int = 16) -> int:
+        """Let ``rows`` arrive in groups of small shards, compacting whenever a tier is due, and return the last version.
+
+        One pass over ``rows``, without a shuffle, writes all of them as shards of up to
+        ``shard_rows`` rows.  Each group of ``arrival_shards`` is then committed as an
+        arrival of its own, so the number of arrivals grows with the input, however many
+        files or partitions it comes in.  Shards that were merged are deleted on the way.
+        """
+        base = self.manifest()
+        schema, waiting = self._schema(base, rows), self._write(rows, shard_rows)
+        groups = [waiting[k : k + arrival_shards] for k in range(0, len(waiting), arrival_shards)] or [[]]
+        for at, group in enumerate(groups):
+            base = self.manifest()
+            self._commit(base, schema, [*base["shards"], *group])
+            if self.due(self.manifest()["shards"]):
+                self.compact()
+                self.vacuum(spare={s.path for later in groups[at + 1 :] for s in later})
+        return self.manifest()["version"]
 
     # --- compaction --------------------------------------------------------------------------
 
@@ -146,27 +169,32 @@ class ShardStore:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         return [run for _, run in sorted(tiers.items()) if len(run) >= (fan_in or self.fan_in)]
 
+    def _merge(self, run: list[Shard], schema: str) -> list[Shard]:
+        """The rows of ``run`` in files of ``fan_in`` shards each, or of the target size if that is less."""
+        total = sum(s.bytes for s in run)
+        files = max(1, round(total / min(self.target_bytes, self.fan_in * total / len(run))))
+        return self._write(self._scan(run, schema).coalesce(files))
+
     def compact(self) -> int:
-        """Merge until no tier is due, and return the version.  Each merge is a version of its own."""
+        """Merge until no tier is due, and return the version.  Each round of merges is a version of its own."""
         while True:
             base = self.manifest()
             runs = self.due(base["shards"])
             if not runs:
                 return base["version"]
-            run = runs[0]
-            files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
-            merged = self._write(self._scan(run, base["schema"]).coalesce(files))
-            gone = {s.path for s in run}
-            self._commit(base, base["schema"], [*(s for s in base["shards"] if s.path not in gone), *merged])
+            with ThreadPoolExecutor(len(runs)) as side_by_side:
+                merged = list(side_by_side.map(lambda run: self._merge(run, base["schema"]), runs))
+            gone = {s.path for run in runs for s in run}
+            self._commit(base, base["schema"], [*(s for s in base["shards"] if s.path not in gone), *(s for new in merged for s in new)])
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete the shards that none of the newest ``keep`` versions lists, and older manifests.
+    def vacuum(self, keep: int = 1, spare: set[str] = frozenset()) -> int:
+        """Delete the shards that none of the newest ``keep`` versions lists, nor ``spare``, and older manifests.
 
         Only for when no reader holds an older version and no writer is between write and
         commit.  Returns the number of deleted shards.
         """
         versions = sorted(self.versions())
-        live = {s.path for v in versions[-keep:] for s in self.manifest(v)["shards"]}
+        live = spare | {s.path for v in versions[-keep:] for s in self.manifest(v)["shards"]}
         for v in versions[:-keep]:
             self._fs.delete(self._path(f"manifest/v{v:012d}.json"), False)
         dropped = 0
@@ -183,18 +211,9 @@ class ShardStore:
         return dropped
 
 
-def arrivals(rows: DataFrame, most: int = 16) -> list[DataFrame]:
-    """The files of a Parquet scan as up to ``most`` arrivals; together they are the whole scan."""
-    files = sorted(rows.inputFiles())
-    groups = [files[k::most] for k in range(min(most, len(files)))]
-    return [rows.sparkSession.read.schema(rows.schema).parquet(*g) for g in groups] or [rows]
-
-
-def ingest(store: ShardStore, batches: list[DataFrame]) -> ShardStore:
-    """Append the batches in turn, compact when a tier is due, and drop what is merged."""
-    for batch in batches:
-        store.append(batch)
-        if store.due(store.manifest()["shards"]):
-            store.compact()
-            store.vacuum()
-    return store
+def rows_per_shard(rows: DataFrame, shard_bytes: int) -> int:
+    """How many rows make shards of about ``shard_bytes``, by the sizes of the scan's files and the rows in them."""
+    jvm, conf = rows.sparkSession._jvm, rows.sparkSession._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in rows.inputFiles()]
+    total = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    return max(1, rows.count() * shard_bytes // max(1, total))
