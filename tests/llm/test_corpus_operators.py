@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from beaconframe.llm import ann, components, line_dedup, mixing, shard_store, simhash
+from beaconframe.llm.queries import compacted
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp long, high long, size int"
@@ -258,7 +259,11 @@ def store(spark, tmp_path, **more):
 def test_compaction(spark, tmp_path):
     rows = docs(spark, [(i, hashlib.sha256(str(i).encode()).hexdigest() * (i % 30)) for i in range(2000)] + [(None, None), (1, ""), (1, "")])
     parts = [rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(9)) == k) for k in range(9)]
-    s = shard_store.ingest(store(spark, tmp_path), parts)
+    s = store(spark, tmp_path)
+    for part in parts:
+        s.append(part)
+        s.compact()
+        s.vacuum()
     assert s.read().exceptAll(rows).count() == 0 and rows.exceptAll(s.read()).count() == 0
     live = s.manifest()["shards"]
     assert not s.due(live) and sum(x.rows for x in live) == 2003
@@ -287,10 +292,23 @@ def test_versions_and_conflicts(spark, tmp_path):
 
 
 def test_empty_store_of_no_rows(spark, tmp_path):
-    s = shard_store.ingest(store(spark, tmp_path), [docs(spark, [])])
+    s = store(spark, tmp_path)
+    assert s.ingest(docs(spark, []), shard_rows=10) == 1
     assert s.read().count() == 0 and s.compact() == 1
 
 
+def test_the_query_merges(spark, tmp_path):
+    """One file without partitions still arrives in small shards, and most of them are merged."""
+    rows = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(640)], "doc_id long, text string").coalesce(1)
+    rows.write.parquet(str(tmp_path / "in"))
+    s = compacted(spark.read.parquet(str(tmp_path / "in")), f"file://{tmp_path}/store")
+    found = s.manifest()
+    assert found["version"] > 4 and len(found["shards"]) < 16 and max(x.rows for x in found["shards"]) > 100
+    assert sorted((r["doc_id"], r["text"]) for r in s.read().collect()) == sorted((r["doc_id"], r["text"]) for r in rows.collect())
+    on_disk = {str(p.relative_to(tmp_path / "store")) for p in (tmp_path / "store/data").rglob("*.parquet")}
+    assert on_disk == {x.path for x in found["shards"]}
+
+
 def test_tiers(spark, tmp_path):
     s = store(spark, tmp_path)
     assert [s.tier(n) for n in (1, 2000, 2001, 8000, 8001)] == [0, 0, 1, 1, 2]
