@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The model types of the two kinds of baseline runs.
+CLIP_RUNS = "clip_dense_retrieval_baseline"
+QWEN_RUNS = "multimodal_multilingual_embedding_baseline"
+
+
 def file_safe(name: Column | str, keep: str = r"A-Za-z0-9._\-", default: str = "model") -> Column:
     """Runs of other characters become one ``_``, none stand at the ends, and nothing becomes ``default``."""
     c = F.col(name) if isinstance(name, str) else name
@@ -63,6 +68,5 @@ def first_present(columns: list[str], names: list[str]) -> str:
 
 def infer_model_type(run_name: Column, model_type: Column) -> Column:
     """An empty model type follows from the run's name; what is set stays."""
-    low = F.lower(run_name)
-    empty = F.coalesce(F.trim(model_type), F.lit("")) == ""
-    return F.when(~empty, model_type).when(low.contains("clip"), "clip").when(low.contains("qwen"), "qwen").otherwise(F.lit(""))
+    low, given = F.lower(run_name), F.coalesce(model_type, F.lit(""))
+    return F.when(given != "", given).when(low.contains("clip"), CLIP_RUNS).when(low.contains("qwen"), QWEN_RUNS).otherwise(F.lit(""))

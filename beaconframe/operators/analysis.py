@@ -19,10 +19,6 @@ def histogram(values: DataFrame, column: str, *, lo: float, hi: float, bins: int
     return edges.join(counted, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
-def mean_of_all_and_best(scores: DataFrame, k: int, score: str = "s", rank: str = "rk") -> DataFrame:
-    return scores.agg(F.avg(score).alias("mean_all"), F.avg(F.when(F.col(rank) <= k, F.col(score))).alias("mean_top"))
-
-
 def sample_std(x: Column) -> Column:
     """The standard deviation with n - 1; 0 for one value, null for none."""
     return F.coalesce(F.stddev_samp(x), F.when(F.count(x) == 1, 0.0))

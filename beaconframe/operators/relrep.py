@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconframe.functions.ids import running_total
 from beaconframe.functions.vectors import EPS, process_weight
 
 from .topk import PLACES
@@ -61,5 +62,4 @@ def ground_truth_rank(found: DataFrame, truth: DataFrame, n_images: Column, keys
 def posting_counts(representations: DataFrame) -> DataFrame:
     """(anchor_id, n, start): how many items hold an anchor, and how many postings come before it."""
     n = representations.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("anchor_id").rowsBetween(Window.unboundedPreceding, -1)
-    return n.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return running_total(n, "start", "n", "anchor_id")

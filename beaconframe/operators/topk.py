@@ -11,7 +11,6 @@ side has to fit anywhere, and only each block's best rows go on to the final ran
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from beaconframe.functions.scratch import materialize
 from beaconframe.functions.vectors import dot
 
 PLACES = 9
@@ -40,15 +40,30 @@ def _packed(rows: DataFrame, key: str, block_rows: int, name: str) -> DataFrame:
     """(name_ids, name_m, name_d): blocks of up to ``block_rows`` rows as bytes of one matrix."""
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for at in range(0, batch.num_rows, block_rows):
-                part = batch.slice(at, block_rows)
-                ids = part.column(0).to_numpy().astype("<i8")
-                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // len(ids)], pa.int32())], names=[f"{name}_ids", f"{name}_m", f"{name}_d"])
+        for part in _rechunked(parts, block_rows):
+            ids = part.column(0).to_numpy().astype("<i8")
+            m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // len(ids)], pa.int32())], names=[f"{name}_ids", f"{name}_m", f"{name}_d"])
 
     packed = rows.select(F.col(key).cast("long"), F.col("vec").cast("array<double>")).where(F.size("vec") > 0)
-    return packed.mapInArrow(pack, f"{name}_ids binary, {name}_m binary, {name}_d int")
+    # Stored, because a product of two plans makes one side again for each partition of the other.
+    return materialize(packed.mapInArrow(pack, f"{name}_ids binary, {name}_m binary, {name}_d int"), f"blocks-{name}")
+
+
+def _rechunked(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``size``, the last one of a partition smaller."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in parts:
+        at = 0
+        while at < batch.num_rows:
+            held.append(batch.slice(at, size - n))
+            at, n = at + held[-1].num_rows, n + held[-1].num_rows
+            if n == size:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def top_k_blocks(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
@@ -76,34 +91,39 @@ def top_k_blocks(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows:
 def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
     """(subset_id, id, anchor_id, s, rk) for ``anchors`` (anchor_id, vec, subsets): the best k within each subset.
 
-    All subsets share the products of a pair of blocks; only their best rows differ.
+    All subsets share the products of a pair of blocks; only their best rows differ.  A block
+    of anchors has its subsets' names and a matrix of bits that says which anchor is in which.
     """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for at in range(0, batch.num_rows, anchor_rows):
-                part = batch.slice(at, anchor_rows)
-                m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                cols = [pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // part.num_rows], pa.int32()), pa.array([json.dumps(part.column(2).to_pylist())])]
-                yield pa.RecordBatch.from_arrays(cols, names=["a_ids", "a_m", "a_d", "a_sets"])
+        for part in _rechunked(parts, anchor_rows):
+            m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            sets, owners = part.column(2).flatten(), part.column(2).value_parent_indices().to_numpy()
+            coded = sets.dictionary_encode()
+            inside = np.zeros((len(coded.dictionary), part.num_rows), bool)
+            inside[coded.indices.to_numpy(), owners] = True
+            cols = [pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // part.num_rows], pa.int32()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([np.packbits(inside, axis=1).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["a_ids", "a_m", "a_d", "a_sets", "a_bits"])
 
     def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             for row in range(batch.num_rows):
-                q_ids, q_m, q_d, a_ids, a_m, a_d, a_sets = (batch.column(c)[row].as_py() for c in range(7))
+                q_ids, q_m, q_d, a_ids, a_m, a_d, a_sets, a_bits = (batch.column(c)[row].as_py() for c in range(8))
                 if q_d != a_d:
                     raise ValueError(f"vectors of {q_d} and {a_d} components")
-                q_ids, a_ids, of = np.frombuffer(q_ids, "<i8"), np.frombuffer(a_ids, "<i8"), json.loads(a_sets)
-                s = np.round(np.frombuffer(q_m, "<f8").reshape(-1, q_d) @ np.frombuffer(a_m, "<f8").reshape(-1, a_d).T, PLACES)
-                for subset in sorted({x for sets in of for x in sets}):
-                    mine = np.array([i for i, sets in enumerate(of) if subset in sets])
-                    part = s[:, mine]
-                    worst = np.partition(part, -k, axis=1)[:, -k] if k < part.shape[1] else np.full(len(part), -np.inf)
-                    i, j = np.nonzero(part >= worst[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array([subset] * len(i), pa.string()), pa.array(q_ids[i]), pa.array(a_ids[mine[j]]), pa.array(part[i, j])], names=["subset_id", "id", "anchor_id", "s"])
+                q_ids, a_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(a_ids, "<i8")
+                anchors_t, bits = np.frombuffer(a_m, "<f8").reshape(-1, a_d).T, np.frombuffer(a_bits, np.uint8).reshape(len(a_sets), -1)
+                members = [np.flatnonzero(np.unpackbits(b, count=len(a_ids))) for b in bits]
+                for at in range(0, len(q_ids), 256):
+                    s = np.round(np.frombuffer(q_m, "<f8").reshape(-1, q_d)[at : at + 256] @ anchors_t, PLACES)
+                    for subset, mine in zip(a_sets, members, strict=True):
+                        part = s if len(mine) == len(a_ids) else s[:, mine]
+                        worst = np.partition(part, -k, axis=1)[:, -k] if k < part.shape[1] else np.full(len(part), -np.inf)
+                        i, j = np.nonzero(part >= worst[:, None])
+                        yield pa.RecordBatch.from_arrays([pa.array([subset] * len(i), pa.string()), pa.array(q_ids[at + i]), pa.array(a_ids[mine[j]]), pa.array(part[i, j])], names=["subset_id", "id", "anchor_id", "s"])
 
     rows = anchors.select(F.col("anchor_id").cast("long"), F.col("vec").cast("array<double>"), F.col("subsets").cast("array<string>")).where(F.size("vec") > 0)
-    blocks = rows.mapInArrow(pack, "a_ids binary, a_m binary, a_d int, a_sets string")
+    blocks = materialize(rows.mapInArrow(pack, "a_ids binary, a_m binary, a_d int, a_sets array<string>, a_bits binary"), "blocks-subsets")
     found = _packed(queries, "id", query_rows, "q").crossJoin(blocks).mapInArrow(multiply, "subset_id string, id long, anchor_id long, s double")
     order = Window.partitionBy("subset_id", "id").orderBy(F.desc("s"), "anchor_id")
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)

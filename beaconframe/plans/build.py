@@ -96,7 +96,7 @@ def run_grid(
             for p in ps:
                 one = replace(config, text_model=text, image_model=image, k=k, p=p)
                 run_dir = f"{store.root}/runs/{text}__{image}__k{k}__p{p}__{one.fingerprint()[:8]}"
-                if skip_existing and store._exists(f"{run_dir}/_SUCCESS"):
+                if skip_existing and store._exists(f"{run_dir}/results.json"):
                     out.append((run_dir, "skipped", None))
                 elif dry_run:
                     out.append((run_dir, "dry_run", None))

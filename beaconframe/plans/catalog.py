@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,11 +75,31 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def write_results(table: DataFrame, path: str, config: dict[str, Any], ks: list[int], timestamp: str) -> None:
-    """results.json in a folder: one object with rates overall and by language and the run's options."""
+    """A run's folder: run_config.json, and results.json with rates overall and by language and the run's options.
+
+    A run is one small document; results.json comes last and is there as a whole or not at all.
+    """
     from beaconframe.operators.evaluate import results_document
 
     options = F.map_from_arrays(F.array(*map(F.lit, config)), F.array(*(F.lit(None if v is None else str(v)).cast("string") for v in config.values())))
-    results_document(table, ks).withColumn("run_config", options).withColumn("timestamp", F.lit(timestamp)).coalesce(1).write.mode("overwrite").json(path)
+    document = results_document(table, ks).withColumn("run_config", options).withColumn("timestamp", F.lit(timestamp)).select(F.to_json(F.struct("*"))).first()[0]
+    put_text(table.sparkSession, f"{path}/run_config.json", json.dumps({k: None if v is None else str(v) for k, v in config.items()}))
+    put_text(table.sparkSession, f"{path}/results.json", document)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with ``text``, written under another name and then moved, in any file system that Spark knows."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    final, waiting = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(waiting, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    files.delete(final, False)
+    if not files.rename(waiting, final):
+        raise OSError(f"{path} could not be written")
 
 
 def write_table(rows: DataFrame, path: str) -> None:

@@ -151,7 +151,7 @@ FROM prof JOIN f ON f.image_idx = anchor_id JOIN caps c ON c.caption_id = f.capt
 coalesce(string_agg(CASE language WHEN 'es' THEN NULL WHEN 'en' THEN caption ELSE 'en:' || caption END, E'\\n' ORDER BY caption_id), '') AS translation_tllm FROM caps GROUP BY image_idx, language""",
     "resume_antijoin": "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "alignment_check": "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.doc_id AS left_key, b.doc_id AS right_key FROM documents a FULL JOIN labels b ON a.doc_id = b.doc_id WHERE a.doc_id IS DISTINCT FROM b.doc_id",
-    "fingerprints": "SELECT doc_id, sha1(text) AS sha1 FROM documents",
+    "fingerprints": "SELECT c_nationkey AS nation, sha1(string_agg(c_name, ',' ORDER BY c_name) || E'\\n') AS sha1 FROM customer GROUP BY c_nationkey",
     "file_names": f"SELECT page_id, {_SAFE.format(c='url')} AS name FROM pages",
     "quantile_bands": "SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_quantity), 9) AS mean, quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.75) AS q75, min(l_quantity) AS min, max(l_quantity) AS max FROM lineitem GROUP BY ALL",
     "best_over_p_k": "SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey, max(l_extendedprice) AS best FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus, l_linenumber), (l_returnflag, l_linestatus, l_suppkey))",
@@ -165,7 +165,7 @@ SELECT l_returnflag, l_linestatus AS language, round(avg(l_quantity), 6) AS l_qu
     "status_tallies": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
     "mean_std": "SELECT c_mktsegment, c_nationkey, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(coalesce(stddev_samp(c_acctbal), CASE WHEN count(c_acctbal) = 1 THEN 0 END), 6) AS std FROM customer GROUP BY ALL",
     "coerced_numbers": "SELECT conv_id, turn, try_cast(role AS DOUBLE) AS from_role, try_cast(CAST(turn AS VARCHAR) AS DOUBLE) AS from_turn FROM conversations",
-    "inferred_model_types": "SELECT page_id, CASE WHEN url LIKE '%#top%' THEN 'other' WHEN url LIKE '%/en/%' THEN 'clip' WHEN url LIKE '%/de/%' THEN 'qwen' WHEN lower(url) LIKE '%clip%' THEN 'clip' WHEN lower(url) LIKE '%qwen%' THEN 'qwen' ELSE '' END AS model_type FROM pages",
+    "inferred_model_types": "SELECT page_id, CASE WHEN url LIKE '%#top%' THEN 'other' WHEN url LIKE '%/en/%' OR lower(url) LIKE '%clip%' AND url NOT LIKE '%/de/%' THEN 'clip_dense_retrieval_baseline' WHEN url LIKE '%/de/%' OR lower(url) LIKE '%qwen%' THEN 'multimodal_multilingual_embedding_baseline' ELSE '' END AS model_type FROM pages",
     "sweep_grid_kp": f"{_MAIN}, {_SWEEP} {_recall(keys='k, p, ')}",
     "first_n_ablation": f"{_subsets(_FIRST_N)} {_recall(keys='subset_id, ')}",
     "random_subset_ids": f"{_MAIN} SELECT idx AS anchor_id FROM unit ORDER BY md5(idx || ':7'), idx LIMIT 50",
@@ -190,5 +190,30 @@ w AS (SELECT id, anchor_id, rk, pow(s, 4) AS v FROM t WHERE rk <= 5)
 SELECT id, anchor_id, rk, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY id)), 1e-12), 6) AS w FROM w""",
 }
 
+ORACLE |= {
+    "jsonl_captions": ORACLE["caption_index_build"],
+    "jsonl_value_kinds": "SELECT CAST(doc_id AS VARCHAR) AS image_id, language, '[x] {y} ' || lang AS caption FROM documents CROSS JOIN (VALUES ('a'), ('b'), ('e')) v(language)",
+    "tar_pairs": "SELECT printf('%08d-%04d', conv_id, turn) AS key, (conv_id % 7) || '.tar' AS shard, text AS caption, 'en' AS language, role FROM conversations WHERE trim(text) <> ''",
+    "run_folders": "SELECT * EXCLUDE (run_dir) FROM (" + ORACLE["rr_summary_wide"] + ") UNION ALL SELECT 'broken', 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL",
+    "report_csv": "SELECT s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) AS s_acctbal FROM supplier",
+    "anchor_list": "SELECT n AS anchor_id FROM (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS n FROM embeddings) WHERE n % 3 <> 1",
+    "subset_retrieval": f"{_subsets('subs AS (SELECT 1 AS subset_id, idx AS anchor_id FROM unit WHERE idx % 3 <> 1)')} {_recall()}",
+    "subset_checks": "SELECT CAST(0 AS BIGINT) AS empty, CAST(1 AS BIGINT) AS negative, CAST(1 AS BIGINT) AS repeated, CAST(2 AS BIGINT) AS unknown",
+    "random_query": f"{_MAIN} SELECT idx AS anchor_id FROM unit ORDER BY md5(idx || ':11'), idx LIMIT 1",
+    "stored_anchors": f"{_MAIN} SELECT idx AS anchor_id, round(list_dot_product(iv, tv), 9) AS cosine FROM unit WHERE idx % 7 <> 0 AND idx < 900",
+    "stored_vectors": f"{_MAIN} SELECT idx AS id, unnest(t0) AS x, CAST(generate_subscripts(t0, 1) - 1 AS INTEGER) AS at FROM views WHERE idx % 7 <> 0",
+    "stored_evaluation": f"{_MAIN} SELECT idx AS caption_id, idx + 5 AS image_idx, language, round(list_dot_product(iv, tv), 9) AS cosine FROM unit",
+    "bank_from_samples": "WITH s AS (SELECT CAST(row_number() OVER (ORDER BY item_id) - 1 AS BIGINT) AS n, CAST(item_id AS VARCHAR) AS key, text FROM benchmark WHERE trim(text) <> '') SELECT n AS caption_id, n AS image_idx, key AS at_id, 'en' AS language, text AS caption FROM s",
+    "catalog_tables": "SELECT n_nationkey, 1 AS made FROM nation",
+    "image_files": "SELECT page_id AS image_idx, CASE page_id % 4 WHEN 0 THEN '/root/a/p' || page_id || '.jpg' WHEN 1 THEN '/root/a/p' || page_id || '.png' WHEN 2 THEN '/root/p' || page_id || '.webp' END AS path FROM pages",
+    "report_order": "SELECT p_partkey, nullif(p_size, 7) AS size, row_number() OVER (ORDER BY nullif(p_size, 7) NULLS LAST, p_retailprice, p_partkey) - 1 AS place FROM part",
+    "union_of_lists": "SELECT id, count(*) AS n FROM (SELECT doc_id AS id FROM documents UNION ALL SELECT doc_id FROM labels UNION ALL SELECT page_id FROM pages) GROUP BY id",
+    "last_token_pool_right": _spread("SELECT conv_id, at, round(max(x) FILTER (nth = place), 6) AS x FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, at ORDER BY turn) AS nth, greatest(1, sum(m) OVER (PARTITION BY conv_id, at)) AS place FROM cells) GROUP BY conv_id, at"),
+    "model_inputs": "SELECT conv_id, turn, 'Describe.' AS instruction, 1 AS parts, CASE WHEN turn % 3 <> 0 THEN trim(text) ELSE '' END AS text FROM conversations",
+    "column_choice": "SELECT o_orderkey, o_totalprice AS value FROM orders",
+    "appended_translations": f"WITH {_CAPS} SELECT caption_id, image_idx, language, CASE language WHEN 'es' THEN NULL WHEN 'en' THEN caption ELSE 'en:' || caption END AS translation FROM caps",
+    "encoded_by_language": "SELECT doc_id, length(text) AS n_chars, length(lang) AS n_language FROM documents",
+}
+
 # The column name "at" is a keyword of the dialect.
 ORACLE = {name: re.sub(r"\bat\b", '"at"', sql) for name, sql in ORACLE.items()}

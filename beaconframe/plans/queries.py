@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from beaconframe.functions import vectors
 from beaconframe.functions.ids import dense_ids
-from beaconframe.functions.scratch import materialize
-from beaconframe.functions.names import file_safe, infer_model_type, numeric, one_line, percent_label, percent_to_count, short_title
+from beaconframe.functions.names import file_safe, first_present, flat_list, infer_model_type, numeric, one_line, percent_label, percent_to_count, short_title
+from beaconframe.functions.scratch import materialize, scratch_path
 from beaconframe.operators import analysis, evaluate, relrep, select, topk
 from beaconframe.sources import captions as cap
+from beaconframe.sources import loaders, shards
 
-from . import encoders, retrieve, translate
+from . import catalog, encoders, retrieve, translate
 
 K, P, KS = 20, 4, (1, 5, 10)
 Query = Callable[[SparkSession, str], DataFrame]
@@ -340,7 +341,12 @@ def alignment_check(spark, sf_dir):
 
 @query
 def fingerprints(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("sha1"))
+    """Digests of files: each shard of the customers as text, named by its nation."""
+    path = scratch_path(spark, "files")
+    lines = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ",").alias("value"))
+    lines.repartition("c_nationkey").write.partitionBy("c_nationkey").text(path)
+    found = shards.content_fingerprints(spark, path)
+    return found.select(F.regexp_extract("path", "c_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "sha1")
 
 
 @query
@@ -559,3 +565,236 @@ def rr_from_documents(spark, sf_dir):
 
     docs, bank = embedded("documents", "doc_id", "id"), embedded("benchmark", "item_id", "anchor_id")
     return relrep.weights(topk.top_k(docs, bank, 5), proc="asif", p=P).select("id", "anchor_id", "rk", F.round("w", 6).alias("w"))
+
+
+# --- files: what is written by a query is read again by the library's readers -------------------
+
+
+@query
+def jsonl_captions(spark, sf_dir):
+    """Caption records as lines of several files, read in the order of files and lines."""
+    path = scratch_path(spark, "records")
+    _record_lines(spark, sf_dir).repartitionByRange(5, "line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return cap.build_captions(cap.build_images(cap.parse_records(cap.read_lines(spark, path), drop_blank=True)))
+
+
+@query
+def jsonl_value_kinds(spark, sf_dir):
+    """Captions that look like lists or objects, lists with other elements, and keys that are no languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("[x] {y} "), "lang").alias("t"), "n_chars")
+    text, number = F.to_json(F.array("t")), F.col("n_chars").cast("string")
+    one = F.expr("substring(to_json(array(t)), 2, length(to_json(array(t))) - 2)")
+    value = F.concat(F.lit('{"id":'), F.col("doc_id").cast("string"), F.lit(',"image/x":{"caption":"no"},"a":{"caption":'), one, F.lit('},"b":{"captions":['), number, F.lit(","), one, F.lit(',null]},"c":{"caption":'), number, F.lit('},"d":"{no}","e":{"caption":"","captions":'), text, F.lit("}}"))
+    records = cap.parse_records(docs.select(F.col("doc_id").alias("line_no"), value.alias("value")))
+    return records.select("image_id", F.explode("entries").alias("e")).select("image_id", "e.language", F.explode("e.captions").alias("caption"))
+
+
+@query
+def tar_pairs(spark, sf_dir):
+    """Conversations as tar shards with captions and metadata, read back."""
+    turns = table(spark, sf_dir, "conversations").select(F.pmod("conv_id", F.lit(7)).alias("shard"), F.format_string("%08d-%04d", "conv_id", "turn").alias("key"), "text", "role")
+
+    def packed(key, rows):
+        import io
+        import json
+        import tarfile
+
+        import pandas as pd
+
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as tar:
+            for name, text, role in zip(rows["key"], rows["text"], rows["role"], strict=True):
+                for kind, content in (("txt", text or ""), ("json", json.dumps({"role": role}))):
+                    member = tarfile.TarInfo(f"{name}.{kind}")
+                    member.size = len(content.encode())
+                    tar.addfile(member, io.BytesIO(content.encode()))
+        return pd.DataFrame({"path": [f"shards/{key[0]}.tar"], "content": [out.getvalue()]})
+
+    files = turns.groupBy("shard").applyInPandas(packed, "path string, content binary")
+    return shards.tar_pairs(files).select("key", "shard", "caption", "language", F.col("meta")["role"].alias("role"))
+
+
+@query
+def run_folders(spark, sf_dir):
+    """The sweep's runs as folders with configuration and results, found and read again, and one that has only its configuration."""
+    root, found = scratch_path(spark, "runs"), materialize(sweep_grid_kp(spark, sf_dir), "sweep")
+    for k, p in [tuple(r) for r in _grid(spark).collect()]:
+        catalog.write_results(found.where((F.col("k") == k) & (F.col("p") == p)), f"{root}/k{k}-p{p}", {"k": k, "p": p, "proc": "asif"}, list(KS), "")
+    catalog.put_text(spark, f"{root}/lost/run_config.json", '{"k": "7", "p": "1", "proc": "norm"}')
+    catalog.put_text(spark, f"{root}/broken/run_config.json", "{no")
+    wide = analysis.summary_tables(shards.read_runs(spark, root), ["k", "p", "proc"], list(KS))[0]
+    return wide.drop("run_dir")
+
+
+@query
+def report_csv(spark, sf_dir):
+    """A report table written as CSV and read again with its types."""
+    path = scratch_path(spark, "report")
+    catalog.write_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal"), path)
+    return loaders.read_report(spark, path, "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").select("s_suppkey", "s_name", "s_nationkey", F.round("s_acctbal", 2).alias("s_acctbal"))
+
+
+def _listed(spark, sf_dir):
+    """Every third anchor, as a file of lines."""
+    path = scratch_path(spark, "anchors")
+    _ids(spark, sf_dir).where("anchor_id % 3 != 1").select(F.col("anchor_id").cast("string")).write.text(path)
+    return shards.read_anchor_ids(spark, path)
+
+
+@query
+def anchor_list(spark, sf_dir):
+    return _listed(spark, sf_dir)
+
+
+@query
+def subset_retrieval(spark, sf_dir):
+    """Recall with the anchors of a list only."""
+    from dataclasses import replace
+
+    return retrieve.retrieve(replace(evaluation(spark, sf_dir), anchor_subset=_listed(spark, sf_dir)), config())
+
+
+@query
+def subset_checks(spark, sf_dir):
+    """A list with an anchor twice, one below zero and one that isn't in the bank."""
+    listed = _listed(spark, sf_dir)
+    more = spark.createDataFrame([(0,), (-5,), (1 << 40,)], "anchor_id long")
+    return select.subset_problems(listed.union(more), _ids(spark, sf_dir))
+
+
+@query
+def random_query(spark, sf_dir):
+    """One query, drawn by a seed."""
+    return select.random_subset(_ids(spark, sf_dir), 1, 11)
+
+
+def _stored(spark, sf_dir):
+    """A bank's folder: both kinds of embeddings in several files; every seventh text is missing."""
+    root, rows = scratch_path(spark, "bank"), items(spark, sf_dir)
+    rows.select(F.col("idx").alias("id"), F.col("iv").alias("vec")).repartition(3).write.parquet(f"{root}/embeddings/image")
+    rows.where("idx % 7 != 0").select(F.col("idx").alias("id"), F.col("tv").alias("vec")).repartition(2).write.parquet(f"{root}/text_embs")
+    return root
+
+
+@query
+def stored_anchors(spark, sf_dir):
+    """Anchors that have both vectors, from two layouts of files, normalized."""
+    both = loaders.load_anchors(spark, _stored(spark, sf_dir), below=900)
+    return both.select("anchor_id", F.round(vectors.dot("img_vec", "txt_vec"), 9).alias("cosine"))
+
+
+@query
+def stored_vectors(spark, sf_dir):
+    """All files of one modality, as they were stored."""
+    rows = loaders.load_vectors(spark, _stored(spark, sf_dir), "text", normalize=False, dim=48)
+    return rows.select("id", F.posexplode("vec").alias("at", "x"))
+
+
+@query
+def stored_evaluation(spark, sf_dir):
+    """An evaluation set from its folder, whose captions have other column names."""
+    root, rows = scratch_path(spark, "evaluation"), items(spark, sf_dir)
+    name = F.concat(F.lit("img-"), F.col("idx").cast("string"))
+    rows.select(F.col("idx").alias("caption_id"), name.alias("key"), F.col("language").alias("lang"), F.lit("x").alias("text")).write.parquet(f"{root}/captions")
+    rows.select((F.col("idx") + 5).alias("image_idx"), name.alias("image_id")).write.parquet(f"{root}/images")
+    rows.select(F.col("idx").alias("id"), F.col("tv").alias("vec")).write.parquet(f"{root}/embeddings/text")
+    rows.select((F.col("idx") + 5).alias("id"), F.col("iv").alias("vec")).write.parquet(f"{root}/embeddings/image")
+    captions, images = loaders.load_evaluation(spark, root)
+    first = images.select(F.col("image_idx").alias("of"), F.col("vec").alias("image_vec"))
+    return captions.join(first, F.col("image_idx") == F.col("of")).select("caption_id", "image_idx", "language", F.round(vectors.dot("vec", "image_vec"), 9).alias("cosine"))
+
+
+@query
+def bank_from_samples(spark, sf_dir):
+    """A bank's folder that has samples only: both views come from them."""
+    root = scratch_path(spark, "samples")
+    pairs = table(spark, sf_dir, "benchmark").select("item_id", F.col("item_id").cast("string").alias("key"), F.col("text").alias("caption"), F.lit("en").alias("language"))
+    cap.build_samples(pairs, "item_id").write.parquet(f"{root}/samples")
+    images, captions = loaders.load_bank(spark, root)
+    return captions.join(images.select(F.col("image_idx").alias("at_image"), F.col("image_id").alias("at_id")), F.col("image_idx") == F.col("at_image")).select("caption_id", "image_idx", "at_id", "language", "caption")
+
+
+@query
+def catalog_tables(spark, sf_dir):
+    """Tables stored under their options: made once, found by an alias of their model."""
+    store = catalog.Catalog(spark, scratch_path(spark, "catalog"))
+    for n in (1, 2):  # the second time the stored table is used
+        store.build("embeddings", {"dataset": "d", "modality": "text", "model": "bge-m3"}, lambda n=n: table(spark, sf_dir, "nation").select("n_nationkey", F.lit(n).alias("made")))
+    return store.find("embeddings", "d", "text", "BGE")
+
+
+@query
+def image_files(spark, sf_dir):
+    """Which file an image is in: by its relative path, by its stem with another extension, or by its id."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("image_idx"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("image_id"))
+    images = pages.withColumn("image_relpath", F.concat(F.lit("a/"), "image_id", F.lit(".jpg")))
+    kind = F.pmod("image_idx", F.lit(4))
+    names = F.when(kind == 0, F.col("image_relpath")).when(kind == 1, F.concat(F.lit("a/"), "image_id", F.lit(".png"))).when(kind == 2, F.concat("image_id", F.lit(".webp")))
+    files = images.select(names.alias("relpath")).where("relpath IS NOT NULL").select(F.concat(F.lit("/root/"), "relpath").alias("path"), "relpath")
+    return shards.resolve_image_paths(images, files).select("image_idx", "path")
+
+
+@query
+def report_order(spark, sf_dir):
+    """Rows by several columns, missing ones last, and their places."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.nullif("p_size", F.lit(7)).alias("size"), "p_retailprice")
+    return dense_ids(analysis.in_report_order(rows, ["size", "p_retailprice"], "p_partkey").withColumn("_last", F.col("size").isNull()), "place", "_last", "size", "p_retailprice", "p_partkey").select("p_partkey", "size", "place")
+
+
+@query
+def union_of_lists(spark, sf_dir):
+    """Ids of several lists, each once, and how many rows the lists have together."""
+    lists = [table(spark, sf_dir, t).select(F.col(c).cast("long").alias("id")) for t, c in (("documents", "doc_id"), ("labels", "doc_id"), ("pages", "page_id"))]
+    whole = lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return whole.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def last_token_pool_right(spark, sf_dir):
+    """The vector at the place that the mask sums up to."""
+    return _pooled(_tokens(spark, sf_dir), vectors.last_token_pool_right("h", "m"))
+
+
+@query
+def model_inputs(spark, sf_dir):
+    """What an encoder of conversations is asked: an instruction, and the text, which may be blank."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", encoders.conversation(F.lit("Describe."), F.when(F.col("turn") % 3 != 0, F.col("text"))).alias("c"))
+    return turns.select("conv_id", "turn", F.col("c")[0]["content"][0]["text"].alias("instruction"), F.size(F.col("c")[1]["content"]).alias("parts"), F.col("c")[1]["content"][0]["text"].alias("text"))
+
+
+@query
+def column_choice(spark, sf_dir):
+    """The first of several column names that is there, and names split from lists."""
+    rows = table(spark, sf_dir, "orders")
+    chosen = first_present(rows.columns, flat_list(["price o_price", "o_totalprice,o_custkey"]))
+    return rows.select("o_orderkey", F.col(chosen).alias("value"))
+
+
+@query
+def appended_translations(spark, sf_dir):
+    """Translations in two goes: what is there after the first isn't made again."""
+    path, rows = scratch_path(spark, "translations"), caption_table(spark, sf_dir).withColumn("image_id", F.col("image_idx").cast("string"))
+    translate.append_translations(rows.where("image_idx % 2 = 0"), path, _client, batch=7)
+    translate.append_translations(rows, path, _client, batch=3)
+    return spark.read.parquet(path).select("caption_id", "image_idx", "language", "translation")
+
+
+@query
+def encoded_by_language(spark, sf_dir):
+    """An encoder that is called with runs of one language, through the registry and its default."""
+    load = encoders.make_encoder("unknown-model", default=_lengths_name())
+    if encoders.check_dimension(load, "abc") != 2:
+        raise ValueError("the encoder has two components")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), "text")
+    return encoders.encode(rows, "text", load, by_language=True, batch_rows=9).select("doc_id", F.col("vec")[0].cast("long").alias("n_chars"), F.col("vec")[1].cast("long").alias("n_language"))
+
+
+def _lengths_name() -> str:
+    def load():
+        def lengths(texts, language=""):
+            return [[len(t), len(language)] for t in texts]
+
+        return lengths
+
+    encoders.register("lengths", load)
+    return "lengths"

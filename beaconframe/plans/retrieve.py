@@ -6,11 +6,13 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from beaconframe.functions.ids import dense_ids
 from beaconframe.functions.names import percent_label, percent_to_count
-from beaconframe.functions.vectors import l2_normalize
+from beaconframe.functions.scratch import materialize
+from beaconframe.functions.vectors import dot, l2_normalize
 from beaconframe.operators import analysis, evaluate, relrep, select, topk
 
 
@@ -180,9 +182,12 @@ def random_grid(percentages: DataFrame, repeats: int, seed_start: int = 0, repea
 def random_subsets(anchors: DataFrame, runs: DataFrame, base_n: int, k: int) -> DataFrame:
     """(percentage, seed, anchor_n, anchor_id) of each run: the first anchor_n in the seed's order of the first ``base_n``."""
     sized = runs.withColumn("anchor_n", percent_to_count(F.lit(base_n), F.col("percentage"), k))
-    order = Window.partitionBy("percentage", "seed").orderBy(select.shuffle_key("anchor_id", F.col("seed")), "anchor_id")
-    drawn = select.first_n(anchors, base_n).select("anchor_id").crossJoin(sized).withColumn("_n", F.row_number().over(order))
-    return drawn.where(F.col("_n") <= F.col("anchor_n")).select("percentage", "seed", "anchor_n", "anchor_id")
+    all_drawn = select.first_n(anchors, base_n).select("anchor_id").crossJoin(_small(sized)).withColumn("_key", select.shuffle_key("anchor_id", F.col("seed")))
+    # One numbering of all runs, which begin where the smallest number of the run is.
+    drawn = dense_ids(all_drawn, "_n", "percentage", "seed", "_key", "anchor_id")
+    begins = drawn.groupBy(F.col("percentage").alias("_percentage"), F.col("seed").alias("_seed")).agg(F.min("_n").alias("_begin"))
+    drawn = drawn.join(_small(begins), (F.col("percentage") == F.col("_percentage")) & (F.col("seed") == F.col("_seed")))
+    return drawn.where(F.col("_n") - F.col("_begin") < F.col("anchor_n")).select("percentage", "seed", "anchor_n", "anchor_id")
 
 
 def first_n_subsets(anchors: DataFrame, percentages: DataFrame, base_n: int, k: int) -> DataFrame:
@@ -195,5 +200,8 @@ def similarity_profile(data: EvaluationSet, caption_id: int, *, top: int = 1000,
     """For one caption: (histogram, means of all and of the best, the best anchors with rank)."""
     one = _unit(data.captions.where(F.col("caption_id") == caption_id), "caption_id")
     bank = data.bank("txt_vec", RetrievalConfig(anchor_n=None))
-    scored = topk.top_k_plan(one, bank, max(1, bank.count()))
-    return analysis.histogram(scored, "s", lo=lo, hi=hi, bins=bins), analysis.mean_of_all_and_best(scored, top), scored.where(F.col("rk") <= top)
+    pairs = bank.crossJoin(F.broadcast(one.select("id", F.col("vec").alias("q"))))
+    scored = materialize(pairs.select("id", "anchor_id", F.round(dot("q", "vec"), topk.PLACES).alias("s")), "profile")
+    best = topk.single_query_top_k(scored, top).withColumnRenamed("rank", "rk")
+    means = scored.agg(F.avg("s").alias("mean_all")).crossJoin(best.agg(F.avg("s").alias("mean_top")))
+    return analysis.histogram(scored, "s", lo=lo, hi=hi, bins=bins), means, best

@@ -16,21 +16,21 @@ _IDS = ("image/key", "image_id", "id", "image")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): the lines that aren't blank, numbered in the order of the files.
+    """(line_no, value): the lines that aren't blank, numbered from 0 in the order of the files' paths and of their lines.
 
-    Lines of a file keep their order; monotonic numbers rise with file splits and lines.
+    Spark reads the larger splits first, so lines are ordered by file, by the place of the
+    split in it and by the place in the split.
     """
-    lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
-    return lines.where(F.trim("value") != "").select("line_no", "value")
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    placed = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    return dense_ids(placed, "line_no", "file", "block", "place").select("line_no", "value")
 
 
 def _strings(value: Column) -> Column:
-    """A JSON string or list as a list of its strings; elements of other kinds are left out."""
-    quoted = F.startswith(F.ltrim(value), F.lit("["))
-    # A list is parsed with its elements as raw text, so that 1 and "1" can be told apart.
-    raw = F.from_json(F.concat(F.lit('{"x":'), value, F.lit("}")), "x array<variant>")["x"]
-    listed = F.transform(F.filter(raw, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
-    return F.when(quoted, F.coalesce(listed, F.array().cast("array<string>"))).otherwise(F.array(value))
+    """A JSON string or list as a list of its strings; elements of other kinds are left out, and other kinds have none."""
+    listed = F.transform(F.filter(F.try_variant_get(value, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    kind = F.schema_of_variant(value)
+    return F.when(kind == "STRING", F.array(value.cast("string"))).when(kind.startswith("ARRAY"), listed).otherwise(F.array().cast("array<string>"))
 
 
 def parse_records(lines: DataFrame, *, id_keys: tuple[str, ...] = _IDS, field: str | None = None, drop_blank: bool = False) -> DataFrame:
@@ -42,11 +42,12 @@ def parse_records(lines: DataFrame, *, id_keys: tuple[str, ...] = _IDS, field: s
     out, and with ``drop_blank`` blank ones too.  Languages without captions vanish, and
     records without an id or without any caption.
     """
-    record = lines.select("line_no", F.from_json("value", "map<string,string>").alias("m"))
-    ids = F.coalesce(*(F.nullif(F.col("m")[k], F.lit("")) for k in id_keys))
-    of = F.map_filter("m", lambda k, v: ~F.startswith(k, F.lit("image/")) & ~k.isin(list(id_keys)) & F.startswith(F.ltrim(v), F.lit("{")))
-    languages = F.transform(F.map_entries(of), lambda e: F.struct(e["key"].alias("language"), F.from_json(e["value"], "map<string,string>").alias("body")))
-    pick = (lambda b: b[field]) if field else (lambda b: F.coalesce(F.nullif(b["caption"], F.lit("")), b["captions"]))
+    # Values stay variants: what looks like a list or an object inside a string is a string.
+    record = lines.select("line_no", F.from_json("value", "map<string,variant>").alias("m"))
+    ids = F.coalesce(*(F.nullif(F.try_variant_get(F.col("m")[k], "$", "string"), F.lit("")) for k in id_keys))
+    of = F.map_filter("m", lambda k, v: ~F.startswith(k, F.lit("image/")) & ~k.isin(list(id_keys)) & F.schema_of_variant(v).startswith("OBJECT"))
+    languages = F.transform(F.map_entries(of), lambda e: F.struct(e["key"].alias("language"), F.try_variant_get(e["value"], "$", "map<string,variant>").alias("body")))
+    pick = (lambda b: b[field]) if field else (lambda b: F.coalesce(F.when(F.to_json(b["caption"]).isin('""', "[]", "null"), F.lit(None)).otherwise(b["caption"]), b["captions"]))
     good = (lambda s: F.filter(s, lambda x: x.isNotNull() & (F.trim(x) != ""))) if drop_blank else (lambda s: F.filter(s, lambda x: x.isNotNull()))
     entries = F.transform("languages", lambda e: F.struct(e["language"].alias("language"), good(_strings(pick(e["body"]))).alias("captions")))
     return (

@@ -17,8 +17,16 @@ _PAIR = "key string, shard string, shard_url string, caption string, language st
 def read_tar_pairs(spark: SparkSession, path: str, pattern: str = "*.tar", with_images: bool = False) -> DataFrame:
     """One row for each key of the tar shards, by name in each shard: caption, metadata and image.
 
-    Shards are read whole, one a row.  A member that can't be read is skipped, a caption
-    that is missing or blank drops its key, and metadata that is no JSON object is empty.
+    Shards are read whole, one a row, so a shard holds under 2 GB.
+    """
+    return tar_pairs(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path), with_images)
+
+
+def tar_pairs(files: DataFrame, with_images: bool = False) -> DataFrame:
+    """The same of the tar files in ``files`` (path, content).
+
+    A member that can't be read is skipped, a caption that is missing or blank drops its
+    key, and metadata that is no JSON object is empty.
     """
 
     def untar(rows: Iterator) -> Iterator:
@@ -51,8 +59,7 @@ def read_tar_pairs(spark: SparkSession, path: str, pattern: str = "*.tar", with_
                 if out:
                     yield pd.DataFrame(out, columns=["key", "shard", "shard_url", "caption", "language", "meta", "image"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return files.mapInPandas(untar, _PAIR)
+    return files.select("path", "content").mapInPandas(untar, _PAIR)
 
 
 def read_embeddings(spark: SparkSession, path: str, *, dim: int | None = None, below: int | None = None, id_col: str = "id") -> DataFrame:

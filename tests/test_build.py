@@ -44,7 +44,7 @@ def test_whole_study(spark, tmp_path):
     from beaconframe.sources.shards import RESULTS
 
     paths = [r["run_dir"] for r in first.collect()]
-    results = spark.read.schema(RESULTS).json(paths)
+    results = spark.read.schema(RESULTS).json([f"{p}/results.json" for p in paths])
     assert results.count() == 2 and all(0 <= r["overall"]["R@1"] <= r["overall"]["R@3"] <= 1 for r in results.collect())
 
 

@@ -110,7 +110,7 @@ def test_results_file(spark, tmp_path):
 
     table = recall_table(spark.createDataFrame([("en", 1)], "language string, rank long"), [1])
     catalog.write_results(table, str(tmp_path / "r"), {"k": 3, "clamp": None}, [1], "now")
-    got = json.loads(next((tmp_path / "r").glob("*.json")).read_text())
+    got = json.loads((tmp_path / "r/results.json").read_text())
     assert got["overall"] == {"R@1": 1.0} and got["run_config"]["k"] == "3" and got["timestamp"] == "now"
     catalog.write_table(table, str(tmp_path / "c"))
     assert next((tmp_path / "c").glob("*.csv")).read_text().startswith("language,n,")

@@ -7,7 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from beaconframe.functions.ids import dense_ids
+from beaconframe.functions.ids import dense_ids, running_total
 from beaconframe.functions.names import file_safe, infer_model_type, numeric, percent_label, percent_to_count, short_title
 from beaconframe.sources import captions as cap
 from beaconframe.sources import shards
@@ -134,6 +134,39 @@ def test_names(spark):
         file_safe(F.lit("//a b/ü")).alias("a"), file_safe(F.lit("??")).alias("b"), short_title(F.lit("x" * 121)).alias("c"), percent_label(F.lit(2.5)).alias("d"), percent_label(F.lit(50.0)).alias("e"),
         numeric(F.lit("x")).alias("f"), infer_model_type(F.lit("a-CLIP-b"), F.lit("")).alias("g"), infer_model_type(F.lit("clip-qwen"), F.lit("own")).alias("h"),
     ).first()
-    assert tuple(row) == ("a_b", "model", "x" * 117 + "...", "2p5", "50", None, "clip", "own")
+    assert tuple(row) == ("a_b", "model", "x" * 117 + "...", "2p5", "50", None, "clip_dense_retrieval_baseline", "own")
     pct = spark.createDataFrame([(0.25,), (0.75,), (0.35,)], "p double").select(percent_to_count(F.lit(1000), F.col("p"), 1).alias("n")).collect()
     assert [r["n"] for r in pct] == [2, 8, 3]
+
+
+def test_lines_in_the_order_of_files(spark, tmp_path):
+    """Larger files are read first; the numbers follow the names."""
+    for name, n in (("a", 1), ("b", 50), ("c", 7)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{i}\n\n" for i in range(n)))
+    got = [(r["line_no"], r["value"]) for r in cap.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()]
+    assert got == list(enumerate(f"{name}{i}" for name, n in (("a", 1), ("b", 50), ("c", 7)) for i in range(n)))
+
+
+def test_kinds_of_captions(spark):
+    rows = lines(spark, {"id": 1, "en": {"caption": "[photo] a cat"}, "de": {"caption": "{x}"}, "fr": "{\"caption\": \"no\"}", "es": {"caption": ["a", 1, None, "b"]}, "it": {"caption": 5}, "pt": {"caption": [], "captions": "c"}})
+    got = cap.parse_records(rows).first()
+    assert got["image_id"] == "1"
+    assert [(e["language"], e["captions"]) for e in got["entries"]] == [("en", ["[photo] a cat"]), ("de", ["{x}"]), ("es", ["a", "b"]), ("pt", ["c"])]
+
+
+def test_numbers_over_many_ranges(spark):
+    """Wide rows, adaptive plans that merge small ranges, and ids that equal their ranks."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200k")
+    try:
+        n = 200_000
+        rows = spark.range(n).select(F.pmod(F.col("id") * 7919, F.lit(n)).alias("at"), F.sha2(F.col("id").cast("string"), 512).alias("wide"), F.sha2(F.col("id").cast("string"), 256).alias("more")).repartition(13)
+        got = dense_ids(rows, "n", "at").agg(F.count("*"), F.countDistinct("n"), F.count_if(F.col("n") != F.col("at")), F.min("n"), F.max("n")).first()
+        assert tuple(got) == (n, n, 0, 0, n - 1)
+        totals = running_total(rows.limit(1000).select("at"), "before", "at", "at").orderBy("at").collect()
+        assert [r["before"] for r in totals] == [sum(x["at"] for x in totals[:i]) for i in range(1000)]
+        assert dense_ids(rows.limit(0), "n", "at").count() == 0 and dense_ids(rows.limit(3), "n", "at", start=5).agg(F.min("n")).first()[0] == 5
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
