@@ -8,6 +8,7 @@ that SQL can express as well.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from string import ascii_lowercase
 from typing import Protocol
 
@@ -38,6 +39,72 @@ def make_encoder(name: str, default: str | None = None) -> Callable[[], Encoder]
     raise KeyError(f"no encoder {name!r}; there are {', '.join(sorted(_REGISTRY)) or 'none'}")
 
 
+@dataclass(frozen=True)
+class Preset:
+    """How a kind of model is used: its pooling (None: the model pools), and what is normalized.
+
+    ``bank`` and ``evaluation`` say whether vectors of an anchor bank and of an evaluation set
+    are normalized; ``by_language`` holds for evaluation sets.  What happens to images before
+    a model sees them is up to the model.
+    """
+
+    modality: str
+    pooling: str | None
+    bank: bool
+    evaluation: bool
+    by_language: bool = False
+
+
+PRESETS = {
+    "dinov3": Preset("image", None, False, False),
+    "clip": Preset("image", None, False, True),
+    "radio": Preset("image", None, False, True),
+    "nllb": Preset("text", "mean", False, True, by_language=True),
+    "bge": Preset("text", "cls", False, True),
+    "qwen3": Preset("text", "last", False, True),
+}
+
+
+def preset(name: str, modality: str, *, evaluation: bool) -> Preset:
+    """The preset that a model's name begins with; for other names bge for texts, and dinov3 (bank) or radio (evaluation) for images."""
+    for key, found in PRESETS.items():
+        if name.lower().startswith(key) and found.modality == modality:
+            return found
+    return PRESETS["bge" if modality == "text" else "radio" if evaluation else "dinov3"]
+
+
+def pool(hidden: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
+    """One vector of each item's token vectors (items x tokens x size), padded on either side: ``mean``, ``cls`` or ``last``."""
+    hidden, mask = np.asarray(hidden, np.float32), np.asarray(mask) > 0
+    if how == "mean":
+        return (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1e-6)[:, None]
+    if how == "cls":
+        return hidden[:, 0]
+    if how == "last":
+        last = np.where(mask.any(axis=1), mask.shape[1] - 1 - mask[:, ::-1].argmax(axis=1), 0)
+        return hidden[np.arange(len(hidden)), last]
+    raise ValueError(f"unknown pooling {how!r}")
+
+
+def pooled(load: Callable[[], Callable], how: str) -> Callable[[], Encoder]:
+    """An encoder from a model that gives (hidden, mask) of its items."""
+
+    def loaded() -> Encoder:
+        model = load()
+        return lambda items, **more: pool(*model(items, **more), how)
+
+    return loaded
+
+
+def encode_preset(rows: DataFrame, item: str, name: str, load: Callable[[], Callable], modality: str, *, evaluation: bool, normalize: bool | None = None, **options) -> DataFrame:
+    """``encode`` as the preset of a model says, or normalized or not as told; ``load`` gives (hidden, mask) where the preset pools, else vectors."""
+    how = preset(name, modality, evaluation=evaluation)
+    load = pooled(load, how.pooling) if how.pooling else load
+    if normalize is None:
+        normalize = how.evaluation if evaluation else how.bank
+    return encode(rows, item, load, normalize=normalize, by_language=how.by_language and evaluation, **options)
+
+
 def letter_frequencies(text: Column | str) -> Column:
     """How often each letter a to z is in the lower-cased text, as 26 numbers."""
     low = F.lower(F.col(text) if isinstance(text, str) else text)

@@ -82,6 +82,36 @@ def test_encoders(spark):
         encoders.make_encoder("unknown")
 
 
+def tokens():
+    """A vector (place + 1, length of the language) for each letter, padded on the left."""
+
+    def call(texts, language=None):
+        n = max(map(len, texts))
+        mask = np.array([[i >= n - len(t) for i in range(n)] for t in texts])
+        hidden = np.array([[[i - n + len(t) + 1, len(language or "")] for i in range(n)] for t in texts], np.float32)
+        return hidden, mask
+
+    return call
+
+
+def test_presets(spark):
+    data = rows(spark)
+    got = lambda name, evaluation: {r["caption_id"]: r["vec"] for r in encoders.encode_preset(data, "caption", name, tokens, "text", evaluation=evaluation).collect()}
+    assert got("nllb-200", False) == {0: [2.0, 0.0], 1: [2.5, 0.0], 2: [1.0, 0.0], 3: [3.0, 0.0]}
+    assert got("qwen3", False)[1] == [4.0, 0.0] and got("qwen3", True)[1] == [1.0, 0.0]
+    raw = encoders.encode_preset(data, "caption", "qwen3", tokens, "text", evaluation=True, normalize=False)
+    assert raw.where("caption_id = 1").first()["vec"] == [4.0, 0.0]
+    by_language = got("nllb-200", True)[0]
+    assert np.allclose(by_language, np.array([2, 2]) / np.sqrt(8))
+    assert encoders.preset("other", "text", evaluation=True).pooling == "cls"
+    assert encoders.preset("other", "image", evaluation=True) is encoders.PRESETS["radio"]
+    assert encoders.preset("other", "image", evaluation=False) is encoders.PRESETS["dinov3"]
+    pooled = encoders.pool([[[1, 2], [3, 4], [9, 9]], [[0, 0], [0, 0], [5, 6]]], [[1, 1, 0], [0, 0, 0]], "last")
+    assert pooled.tolist() == [[3, 4], [0, 0]]
+    with pytest.raises(ValueError):
+        encoders.pool(np.zeros((1, 1, 1)), np.ones((1, 1)), "max")
+
+
 def test_conversation(spark):
     frame = spark.createDataFrame([("hi", "p.jpg"), (" ", None)], "t string, i string")
     got = frame.select(encoders.conversation(F.lit("do"), F.col("t"), F.col("i")).alias("c")).collect()
