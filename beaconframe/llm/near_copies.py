@@ -1,18 +1,24 @@
-"""Near copies by the Jaccard similarity of word shingles, found by an exact prefix join.
-
-In any one order of all shingles, two sets of similarity t or more have a shingle in common
-among the first n - ceil(t n) + 1 of each.  So only these prefixes are joined by equality;
-pairs that sizes and places in the prefixes don't rule out go on.  Each set has a row of
-parity bits, in which every shingle turns one bit over; two sets differ in at least as many
-shingles as their bits differ, which rules out most of what is left.  The rest is verified on
-whole sets.  No pair at or above the limit is missed, whichever order is taken.  The order
-puts shingles that are popular in a sample last, which keeps the groups that meet small.
-
-Scale: equal texts are one node.  A shingle's group of up to ``max_bucket`` nodes lists its
-pairs; a larger one first only links each node to one hub, and lists afterwards the pairs of
-nodes that aren't yet in one component, so that a large group of near copies never lists its
-pairs.  Groups are streamed in sorted order; nothing is collected but the popular shingles,
-of which there is a limit.
+"""Near copies by the Jaccard similarity of word shingles: SimHash links first, an exact join for the rest.
+
+Each set of shingles has a SimHash fingerprint.  Fingerprints of few differing bits meet by
+equality of their deletion-variant signatures (``simhash.link_fingerprints``); the pairs that
+span such a group are verified on whole sets, and what stays linked is a class.
+
+Sets at the limit differ in more bits than such signatures reach, so an exact prefix join looks
+for the links between classes.  In any one order of all shingles, two sets of similarity t or
+more have a shingle in common among the first n - ceil(t n) + 1 of each.  So only these
+prefixes are joined by equality; pairs of one class, and those that sizes and places in the
+prefixes rule out, go no further.  Each set has a row of parity bits, in which every shingle
+turns one bit over; two sets differ in at least as many shingles as their bits differ, which
+rules out most of what is left.  The rest is verified on whole sets.  No pair at or above the
+limit is missed, whichever order is taken.  The order puts shingles that are popular in a
+sample last, which keeps the groups that meet small.
+
+Scale: equal texts are one node.  Fingerprints list no pairs of a group, only a spanning
+forest.  A shingle's group of up to ``max_bucket`` nodes lists its pairs; a larger one first
+only links each node to one hub, and lists afterwards the pairs of nodes that aren't yet in one
+component, so that a large group of near copies never lists its pairs.  Groups are streamed in
+sorted order; nothing is collected but the popular shingles, of which there is a limit.
 """
 
 from __future__ import annotations
@@ -27,6 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import simhash
 from .common import batches, column, materialize
 from .components import components
 
@@ -103,8 +110,8 @@ def _differ(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _by_parity(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The ``pairs`` (a, b) whose parity bits differ in no more places than sets that are alike may differ in shingles."""
+def _by_parity(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of different ``classes`` (of, root) whose parity bits differ in no more places than sets that are alike may differ in shingles."""
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts, 1024):
@@ -112,8 +119,9 @@ def _by_parity(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
             keep = [_differ(x, y) <= m for x, y, m in zip(column(batch, "parity_x").to_pylist(), column(batch, "parity_y").to_pylist(), most.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
-    of = lambda n: nodes.select(F.col("node").alias(f"node_{n}"), F.col("size").alias(f"size_{n}"), F.col("parity").alias(f"parity_{n}"))
-    both = pairs.join(of("x"), F.col("a") == F.col("node_x")).join(of("y"), F.col("b") == F.col("node_y"))
+    placed = nodes.join(classes, F.col("node") == F.col("of"), "left").select("node", "size", "parity", F.coalesce("root", "node").alias("root"))
+    of = lambda n: placed.toDF(*(f"{c}_{n}" for c in placed.columns))
+    both = pairs.join(of("x"), F.col("a") == F.col("node_x")).join(of("y"), F.col("b") == F.col("node_y")).where("root_x <> root_y")
     return both.select("a", "b", "size_x", "size_y", "parity_x", "parity_y").mapInArrow(near, "a long, b long")
 
 
@@ -161,8 +169,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, simi
     return materialize(both.mapInArrow(alike, "a long, b long"), "copies-links")
 
 
-def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int, similarity: float, max_bucket: int) -> DataFrame:
-    """Links (a, b) that join all of ``nodes`` (node, size, parity, prefix) with at least ``similarity``."""
+def near_fingerprints(nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs (a, b) that span each group of ``nodes`` (node, fp) joined by fingerprints of at most ``max_bits`` differing bits.
+
+    One node stands for all of its fingerprint; the others of it are paired with that one.
+    """
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts, "copies-fingerprints")
+    x, y = (firsts.select(F.col("fp").alias(f"fp_{of}"), F.col("first").alias(f"first_{of}")) for of in "xy")
+    near = simhash.link_fingerprints(firsts, max_bits=max_bits).join(x, F.col("a") == F.col("fp_x")).join(y, F.col("b") == F.col("fp_y"))
+    same = nodes.select("node", "fp").join(firsts.where("n > 1"), "fp").where("node <> first")
+    pairs = near.select("first_x", "first_y").union(same.select("first", "node")).toDF("x", "y")
+    return materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "copies-near")
+
+
+def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int, similarity: float, max_bucket: int, max_bits: int) -> DataFrame:
+    """Links (a, b) that join all of ``nodes`` (node, size, fp, parity, prefix) with at least ``similarity``."""
 
     def groups(parts: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(shingle, the columns) of each run of a shingle in each sorted batch, without runs of one row that no other batch can go on with."""
@@ -218,6 +240,8 @@ def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int,
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.repartition("shingle").sortWithinPartitions("shingle", "node")
 
+    alike = _verified(docs, near_fingerprints(nodes, max_bits), text_col, width, similarity)
+    classes = materialize(components(alike).withColumnRenamed("node", "of"), "copies-classes")
     # Most shingles of prefixes are in one node only; they don't leave the JVM.
     spread = nodes.select("node", "size", F.posexplode("prefix").alias("place", "shingle"))
     shared = spread.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("n > 1")
@@ -226,13 +250,14 @@ def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int,
     x, y = (small.select("shingle", *(F.col(c).alias(f"{c}_{of}") for c in ("node", "size", "place"))) for of in "xy")
     met = x.join(y, "shingle").where("node_x < node_y").where(_can_be_copies(similarity)).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     met = met.union(dealt(large).mapInArrow(hubs, "a long, b long"))
-    links = _verified(docs, materialize(_by_parity(met.distinct(), nodes, similarity), "copies-met"), text_col, width, similarity)
+    met = materialize(_by_parity(met.distinct(), nodes, classes, similarity), "copies-met")
+    links = alike.union(_verified(docs, met, text_col, width, similarity))
     if not large.limit(1).count():
         return links
-    rooted = components(links).withColumnRenamed("node", "of")
-    large = large.join(rooted, F.col("node") == F.col("of"), "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
+    classes = materialize(components(links).withColumnRenamed("node", "of"), "copies-classes")
+    large = large.join(classes, F.col("node") == F.col("of"), "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
     more = dealt(large).mapInArrow(across, "a long, b long").distinct()
-    return links.union(_verified(docs, materialize(_by_parity(more, nodes, similarity), "copies-more"), text_col, width, similarity))
+    return links.union(_verified(docs, materialize(_by_parity(more, nodes, classes, similarity), "copies-more"), text_col, width, similarity))
 
 
 def _raw_sum(text: str | None) -> bytes:
@@ -254,7 +279,7 @@ def _one_of_each(marked: DataFrame) -> DataFrame:
     return marked.join(spare, F.col("row_no") == F.col("spare_no"), "left_anti")
 
 
-def _marked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bucket: int = 64, one_in: int = 32, popular: int = 4, most_popular: int = 1 << 20) -> DataFrame:
+def _marked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 3, max_bucket: int = 64, one_in: int = 32, popular: int = 4, most_popular: int = 1 << 20) -> DataFrame:
     """(id, sum, n, root, best) for each id and text, ``n`` rows: the component, and the (missing, id, sum) of the row to keep of it."""
     order = _popular(docs, text_col, width, one_in, popular, most_popular)
     sent = docs.sparkSession.sparkContext.broadcast(order)
@@ -268,14 +293,15 @@ def _marked(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *prefixes])))
             parity = pa.array(map(_parity, own), pa.binary())
-            cols = [column(batch, id_col), pa.array([_raw_sum(t) for t in texts], pa.binary()), pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(s) for s in own], pa.int32()), parity, lists]
-            yield pa.RecordBatch.from_arrays(cols, names=["id", "sum", "node", "size", "parity", "prefix"])
+            fps = pa.array(np.array([simhash.majority(s) for s in own], np.uint64).view(np.int64))
+            cols = [column(batch, id_col), pa.array([_raw_sum(t) for t in texts], pa.binary()), pa.array([node_of(w) for w in words], pa.int64()), pa.array([len(s) for s in own], pa.int32()), fps, parity, lists]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "sum", "node", "size", "fp", "parity", "prefix"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = docs.select(id_col, text_col).mapInArrow(mark, f"id {kind}, sum binary, node long, size int, parity binary, prefix array<long>")
+    marked = docs.select(id_col, text_col).mapInArrow(mark, f"id {kind}, sum binary, node long, size int, fp long, parity binary, prefix array<long>")
     marked = materialize(marked.withColumn("row_no", F.monotonically_increasing_id()), "copies-marked")
-    nodes = _one_of_each(marked).select("node", "size", "parity", "prefix")
-    links = link_copies(docs, nodes, text_col=text_col, width=width, similarity=similarity, max_bucket=max_bucket)
+    nodes = _one_of_each(marked).select("node", "size", "fp", "parity", "prefix")
+    links = link_copies(docs, nodes, text_col=text_col, width=width, similarity=similarity, max_bucket=max_bucket, max_bits=max_bits)
     rooted = components(links).withColumnRenamed("node", "of")
     rows = marked.groupBy("id", "sum", "node").agg(F.count(F.lit(1)).alias("n"))
     rows = rows.join(rooted, F.col("node") == F.col("of"), "left").select("id", "sum", "n", F.coalesce("root", "node").alias("root"))
@@ -293,7 +319,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     ids are never a component_id unless a component has no other id (then it is null).
 
     ``one_in``, ``popular`` and ``most_popular`` shape the order of the shingles, and with
-    ``max_bucket`` the work, not the result.
+    ``max_bits`` and ``max_bucket`` the work, not the result.
     """
     rows = _marked(docs, id_col=id_col, **options)
     return rows.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), F.explode(F.expr("sequence(1, n)"))).drop("col")

@@ -29,6 +29,14 @@ from .common import batches, column, materialize
 from .components import components
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit ``hashes`` have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str | None, width: int = 3) -> int:
     """The 64-bit SimHash of the word shingles of a text with A-Z lower-cased; 0 without words.
 
@@ -45,11 +53,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     n = max(1, len(words) - width + 1)
     last = min(width, len(words)) - 1
     hashed = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[last : last + n].tolist(), strict=True)), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:

@@ -74,3 +74,37 @@ def test_parity_bits_bound_the_difference():
         apart = len(np.setxor1d(a, b))
         assert near_copies._differ(near_copies._parity(a), near_copies._parity(b)) <= apart
     assert near_copies._differ(near_copies._parity(a), near_copies._parity(a)) == 0
+
+
+def test_simhash_links_come_first(spark, monkeypatch):
+    """What deletion variants reach is linked by them alone; the exact join gets the pairs of different classes only."""
+    seen, left, long = [], [], [f"w{k}" for k in np.random.default_rng(23).integers(0, 300, 400)]
+    texts = edited() + [" ".join([*long[:at], f"one{at}", *long[at + 1 :]]) for at in range(0, 400, 16)]
+    near, parity = near_copies.near_fingerprints, near_copies._by_parity
+
+    def spied(nodes, max_bits):
+        pairs = near(nodes, max_bits)
+        fps = {r["node"]: r["fp"] for r in nodes.select("node", "fp").collect()}
+        seen.append((fps, max_bits, [tuple(r) for r in pairs.collect()]))
+        return pairs
+
+    def asked(pairs, nodes, classes, similarity):
+        out = parity(pairs, nodes, classes, similarity)
+        root = {r["of"]: r["root"] for r in classes.collect()}
+        left.append((root, [tuple(r) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(near_copies, "near_fingerprints", spied)
+    monkeypatch.setattr(near_copies, "_by_parity", asked)
+    rows = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, 4) for i, t in enumerate(texts)], DOCS)
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, rows, "").collect())
+    assert kept == sorted(set(plain_groups(texts, range(len(texts)))))
+
+    [(fps, max_bits, pairs)] = seen
+    group = {n: n for n in fps}
+    for a, b in pairs:
+        group = {n: group[b] if g == group[a] else g for n, g in group.items()}
+    close = [(x, y) for x in fps for y in fps if x < y and ((fps[x] ^ fps[y]) & (2**64 - 1)).bit_count() <= max_bits]
+    assert len(close) > 10 and all(group[x] == group[y] for x, y in close) and len(pairs) < len(fps)
+    assert left and any(root for root, _ in left)
+    assert all(root.get(a, a) != root.get(b, b) for root, pairs in left for a, b in pairs)
