@@ -24,11 +24,13 @@ sorted order; nothing is collected but the popular shingles, of which there is a
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -138,13 +140,42 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
+def _sieve(rows: DataFrame, values: Callable[[pa.RecordBatch], np.ndarray], most_bits: int) -> Broadcast[np.ndarray]:
+    """A bit row in which the last bits of each of ``values`` are set: at least 128 bits for each row, ``most_bits`` (a power of two) at most.
+
+    It keeps most rows that aren't wanted out of a shuffle, whatever the size of the table;
+    those that it lets through are for an exact join.
+    """
+    bits = min(most_bits, max(1 << 12, 1 << (128 * rows.count()).bit_length()))
+
+    def words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts, 1 << 14):
+            slots = values(batch) & np.uint64(bits - 1)
+            at, back = np.unique(slots >> np.uint64(6), return_inverse=True)
+            own = np.zeros(len(at), np.uint64)
+            np.bitwise_or.at(own, back, np.uint64(1) << (slots & np.uint64(63)))
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(own.view(np.int64))], names=["at", "own"])
+
+    found = rows.mapInArrow(words, "at long, own long").groupBy("at").agg(F.bit_or("own").alias("own")).toArrow()
+    sieve = np.zeros(bits >> 6, np.uint64)
+    sieve[found["at"].to_numpy()] = found["own"].to_numpy().view(np.uint64)
+    return rows.sparkSession.sparkContext.broadcast(sieve)
+
+
+def _passes(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slots = values & np.uint64((len(sieve) << 6) - 1)
+    return (sieve[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) whose whole sets are at least ``similarity`` alike."""
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
             words = [plain_words(t) for t in column(batch, text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(w) for w in words], pa.int64()), pa.array(words, pa.binary())], names=["node", "words"])
+            nodes = np.array([node_of(w) for w in words], np.int64)
+            keep = pa.array(_passes(sent.value, nodes.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes).filter(keep), pa.array(words, pa.binary()).filter(keep)], names=["node", "words"])
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
@@ -161,6 +192,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, text_col: str, width: int, simi
             yield pa.RecordBatch.from_arrays([column(batch, c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
 
     needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("needed")).distinct(), "copies-needed")
+    sent = _sieve(needed, lambda batch: column(batch, "needed").to_numpy().view(np.uint64), 1 << 28)
     asked = docs.select(text_col).mapInArrow(texts, "node long, words binary").join(needed, F.col("node") == F.col("needed"), "left_semi")
     own = asked.mapInArrow(sets, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
     own = materialize(own, "copies-sets")
@@ -325,26 +357,38 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     return rows.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"), F.explode(F.expr("sequence(1, n)"))).drop("col")
 
 
-def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def _heads(sums: pa.Array) -> np.ndarray:
+    return np.array([int.from_bytes(s[:8], "little") for s in sums.to_pylist()], np.uint64)
+
+
+def keep_one_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sieve_bits: int = 1 << 28, **options) -> DataFrame:
     """One row of ``docs`` for each component: of the smallest id, null ids last, then of the smallest digest of the text.
 
     Of rows equal in both, the first as JSON stays.  Other columns pass through, whatever
     their names.
+
+    Whole rows are shuffled only if a bit row of the digests to leave out (up to
+    ``sieve_bits``, sent to all workers) says that they may be among these; the join that
+    decides is exact, so that a full bit row costs shuffle and no row.
     """
     found = _marked(docs, id_col=id_col, text_col=text_col, **options)
     kept = F.col("best.id").eqNullSafe(F.col("id")) & (F.col("best.sum") == F.col("sum"))
     marks = found.where(~kept | (F.col("n") > 1)).select(F.col("id").alias("marked_id"), F.col("sum").alias("marked_sum"), kept.alias("again"))
     marks = materialize(marks, "copies-marks")
+    sent = _sieve(marks.select("marked_sum"), lambda batch: _heads(column(batch, "marked_sum")), sieve_bits)
 
-    def tagged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tagged(parts: Iterator[pa.RecordBatch], doubtful: bool) -> Iterator[pa.RecordBatch]:
+        """The rows that the bit row has (``doubtful``) or hasn't."""
         for batch in batches(parts):
-            sums = [_raw_sum(t) for t in column(batch, text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.to_struct_array(), column(batch, id_col), pa.array(sums, pa.binary())], names=["row", "id", "sum"])
+            sums = pa.array([_raw_sum(t) for t in column(batch, text_col).to_pylist()], pa.binary())
+            keep = pa.array(_passes(sent.value, _heads(sums)) == doubtful)
+            cols = [batch.to_struct_array(), column(batch, id_col), sums]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in cols], names=["row", "id", "sum"])
 
     shape = T.StructType([T.StructField("row", docs.schema), T.StructField("id", docs.schema[id_col].dataType), T.StructField("sum", T.BinaryType())])
-    rows = docs.mapInArrow(tagged, shape)
+    clear, rows = (docs.mapInArrow(partial(tagged, doubtful=d), shape) for d in (False, True))
     same = F.col("id").eqNullSafe(F.col("marked_id")) & (F.col("sum") == F.col("marked_sum"))
-    out = rows.join(marks, same, "left_anti").select("row")
+    out = clear.select("row").union(rows.join(marks, same, "left_anti").select("row"))
     again = marks.where("again")
     if again.limit(1).count():
         repeated = rows.join(again, same, "left_semi").groupBy("id", "sum").agg(F.min_by("row", F.to_json("row")).alias("row"))

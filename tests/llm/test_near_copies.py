@@ -108,3 +108,23 @@ def test_simhash_links_come_first(spark, monkeypatch):
     assert len(close) > 10 and all(group[x] == group[y] for x, y in close) and len(pairs) < len(fps)
     assert left and any(root for root, _ in left)
     assert all(root.get(a, a) != root.get(b, b) for root, pairs in left for a, b in pairs)
+
+
+@pytest.mark.parametrize("bits", [1 << 28, 64])
+def test_only_rows_in_doubt_are_shuffled(spark, bits):
+    """Rows to leave out are found without a shuffle of all texts; a bit row that is too small loses nothing."""
+    rng = np.random.default_rng(31)
+    texts = [rng.bytes(20_000).hex() for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, texts[i]) for i in range(8)] + [(None, None), (2000, ""), (2000, "")]
+    frame = docs(spark, rows)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    written = lambda: (spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000), store.executorSummary("driver").totalShuffleWrite())[1]
+    before, limit = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_copies.keep_one_each(frame, sieve_bits=bits).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [*enumerate(texts), (2000, "")]
+    if bits > 64:
+        assert written() - before < 3_000_000 < sum(map(len, texts))
