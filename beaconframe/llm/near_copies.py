@@ -17,8 +17,8 @@ sample last, which keeps the groups that meet small.
 Scale: equal texts are one node.  Fingerprints list no pairs of a group, only a spanning
 forest.  A shingle's group of up to ``max_bucket`` nodes lists its pairs; a larger one first
 only links each node to one hub, and lists afterwards the pairs of nodes that aren't yet in one
-component, so that a large group of near copies never lists its pairs.  Groups are streamed in
-sorted order; nothing is collected but the popular shingles, of which there is a limit.
+component and whose parity bits are close, so that neither a large group of near copies nor one
+of a common passage lists its pairs.  Groups are streamed in sorted order; nothing is collected but the popular shingles, of which there is a limit.
 """
 
 from __future__ import annotations
@@ -104,12 +104,36 @@ def _parity(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(rows: np.ndarray, length: int) -> np.ndarray:
+    """The same rows of parity bits (the last axis) with ``length`` bytes for fewer classes."""
+    while rows.shape[-1] > length:
+        half = rows.shape[-1] // 2
+        rows = rows[..., :half] ^ rows[..., half:]
+    return rows
+
+
 def _differ(x: bytes, y: bytes) -> int:
     """In how many bits two rows of parity bits differ, the longer one folded to the classes of the other."""
     x, y = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    return int(np.bitwise_count(x ^ _folded(y, len(x))).sum())
+
+
+def _near_parity(parity: list[bytes], sizes: np.ndarray, similarity: float) -> Callable[[int, np.ndarray], np.ndarray]:
+    """A function that gives those of some places whose parity bits allow a copy of the row at a place."""
+    lengths = np.array([len(p) for p in parity])
+    by_length = {n: np.flatnonzero(lengths == n) for n in np.unique(lengths).tolist()}
+    bits = {n: np.frombuffer(b"".join(parity[i] for i in at.tolist()), np.uint8).reshape(-1, n) for n, at in by_length.items()}
+
+    def near(at: int, others: np.ndarray) -> np.ndarray:
+        mine, found = np.frombuffer(parity[at], np.uint8), []
+        for n, places in by_length.items():
+            some = others[lengths[others] == n]
+            both = min(n, len(mine))
+            apart = np.bitwise_count(_folded(bits[n][np.searchsorted(places, some)], both) ^ _folded(mine, both)).sum(axis=1, dtype=np.int64)
+            found.append(some[apart <= (sizes[at] + sizes[some]) * (1 - similarity) / (1 + similarity) + 1e-9])
+        return np.concatenate(found)
+
+    return near
 
 
 def _by_parity(pairs: DataFrame, nodes: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
@@ -223,7 +247,7 @@ def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int,
         for batch in parts:
             if not batch.num_rows:
                 continue
-            keys, cols = column(batch, "shingle").to_numpy(), [column(batch, n).to_numpy() for n in names]
+            keys, cols = column(batch, "shingle").to_numpy(), [column(batch, n).to_numpy(zero_copy_only=False) for n in names]
             starts = np.append(0, np.flatnonzero(keys[1:] != keys[:-1]) + 1)
             ends = np.append(starts[1:], len(keys))
             some = ends - starts > 1
@@ -242,23 +266,27 @@ def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int,
                 yield _pairs([np.full(near.sum(), hub[0])], [node[near]])
 
     def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs of a large group that aren't in one component."""
+        """The pairs of a large group that aren't in one component and whose parity bits don't rule them out."""
         key, held, a, b, n = None, [], [], [], 0
 
         def listed() -> Iterator[pa.RecordBatch]:
             nonlocal a, b, n
-            node, size, place, root = (np.concatenate(c) for c in zip(*held, strict=True))
-            for i in range(len(node) - 1) if (root != root[0]).any() else ():
-                near = node[i + 1 :][_possible(size, place, i, slice(i + 1, None), similarity) & (root[i + 1 :] != root[i])]
+            node, size, place, root, parity = (np.concatenate(c) for c in zip(*held, strict=True))
+            if (root == root[0]).all():
+                return
+            by_parity = _near_parity(parity.tolist(), size, similarity)
+            for i in range(len(node) - 1):
+                near = i + 1 + np.flatnonzero(_possible(size, place, i, slice(i + 1, None), similarity) & (root[i + 1 :] != root[i]))
+                near = by_parity(i, near) if len(near) else near
                 if len(near):
                     a.append(np.full(len(near), node[i]))
-                    b.append(near)
+                    b.append(node[near])
                     n += len(near)
                 if n > 10_000:
                     yield _pairs(a, b)
                     a, b, n = [], [], 0
 
-        for new, cols in groups(parts, ("node", "size", "place", "root")):
+        for new, cols in groups(parts, ("node", "size", "place", "root", "parity")):
             if new != key and held:
                 yield from listed()
                 held = []
@@ -288,8 +316,9 @@ def link_copies(docs: DataFrame, nodes: DataFrame, *, text_col: str, width: int,
         return links
     classes = materialize(components(links).withColumnRenamed("node", "of"), "copies-classes")
     large = large.join(classes, F.col("node") == F.col("of"), "left").select("shingle", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    more = dealt(large).mapInArrow(across, "a long, b long").distinct()
-    return links.union(_verified(docs, materialize(_by_parity(more, nodes, classes, similarity), "copies-more"), text_col, width, similarity))
+    large = large.join(nodes.select(F.col("node").alias("own"), "parity"), F.col("node") == F.col("own")).drop("own")
+    more = materialize(dealt(large).mapInArrow(across, "a long, b long").distinct(), "copies-more")
+    return links.union(_verified(docs, more, text_col, width, similarity))
 
 
 def _raw_sum(text: str | None) -> bytes:

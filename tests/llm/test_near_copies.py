@@ -128,3 +128,36 @@ def test_only_rows_in_doubt_are_shuffled(spark, bits):
     assert sorted((r["doc_id"], r["text"]) for r in kept) == [*enumerate(texts), (2000, "")]
     if bits > 64:
         assert written() - before < 3_000_000 < sum(map(len, texts))
+
+
+def test_parity_bits_within_a_group():
+    """The same verdict for many rows at once, of one and of different lengths; no pair of the limit goes."""
+    rng = np.random.default_rng(41)
+    sets = []
+    for n in (1, 40, 500, 600, 2100):
+        base = rng.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(np.concatenate([base[rng.random(n) > share], rng.integers(0, 1 << 63, 1 + n // 20, np.uint64)])) for share in (0, 0.05, 0.1, 0.3) for _ in range(3)]
+    parity, sizes = [near_copies._parity(s) for s in sets], np.array([len(s) for s in sets])
+    near, listed, kept = near_copies._near_parity(parity, sizes, 0.8), 0, 0
+    for i in range(len(sets) - 1):
+        others = np.arange(i + 1, len(sets))
+        got = set(near(i, others).tolist())
+        assert got == {j for j in others.tolist() if near_copies._differ(parity[i], parity[j]) <= (sizes[i] + sizes[j]) / 9 + 1e-9}
+        shared = {j: len(np.intersect1d(sets[i], sets[j])) for j in others.tolist()}
+        assert got >= {j for j, n in shared.items() if n >= 0.8 * (sizes[i] + sizes[j] - n)}
+        listed, kept = listed + len(others), kept + len(got)
+    assert 0 < kept < listed / 4
+
+
+def test_group_of_a_common_passage(spark):
+    """A popular shingle whose texts are mostly no copies: the pairs of the limit are linked, the others not."""
+    rng = np.random.default_rng(43)
+    passage, texts = [f"p{k}" for k in range(90)], []
+    for i in range(60):
+        words = list(passage)
+        for at in rng.integers(0, 90, rng.integers(0, 7)):
+            words[at] = f"new{rng.integers(0, 50)}"
+        texts.append(" ".join(words + [f"own{i}x{k}" for k in range(rng.integers(0, 14))]))
+    got = near_copies.near_copies(docs(spark, list(enumerate(texts))), max_bucket=4, popular=2, one_in=1)
+    want = plain_groups(texts, range(len(texts)))
+    assert sorted(tuple(r) for r in got.collect()) == list(enumerate(want)) and 5 < len(set(want)) < 55
