@@ -54,8 +54,9 @@ def best_config_by_language(rows: DataFrame, pair: list[str], config: list[str],
     return rows.join(best, [*pair, *config]).groupBy(*pair, "language").agg(*(F.avg(c).alias(c) for c in [value, *others]))
 
 
-def drop_duplicates_keep_first(rows: DataFrame, by: list[str], row_id: str) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy(row_id)
+def drop_duplicates_keep_first(rows: DataFrame, by: list[str], *row_id: str) -> DataFrame:
+    """The first row of each group by ``row_id``, which must be total for the result to be reproducible."""
+    order = Window.partitionBy(*by).orderBy(*row_id)
     return rows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 

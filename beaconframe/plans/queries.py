@@ -392,7 +392,9 @@ def pivot_pair_k(spark, sf_dir):
 
 @query
 def dedupe_first(spark, sf_dir):
-    return analysis.drop_duplicates_keep_first(_lines(spark, sf_dir), ["l_orderkey"], "row_id").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Rows of the same order and number are told apart by their place in the table's files."""
+    placed = _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "row_id", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return analysis.drop_duplicates_keep_first(placed, ["l_orderkey"], "row_id", "_file", "_at").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query

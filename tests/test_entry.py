@@ -43,3 +43,17 @@ def test_query_equals_sql(spark, sql, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_dedupe_first_keeps_the_first_of_the_files(spark, tmp_path):
+    """Rows of equal keys in several files, the later ones larger, so that Spark reads them first; with one thread the SQL keeps the first it reads."""
+    table = tmp_path / "lineitem.parquet"
+    table.mkdir()
+    db = duckdb.connect()
+    db.execute("SET threads = 1")
+    for i in range(4):
+        db.execute(f"COPY (SELECT CAST(r % 7 AS BIGINT) AS l_orderkey, CAST(1 + r % 2 AS INTEGER) AS l_linenumber, CAST({i} * 100000 + r AS BIGINT) AS l_partkey FROM range({14 * 40**i}) t(r)) TO '{table}/part-{i}.parquet'")
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{table}/*.parquet'")
+    want = db.execute(registry.oracle_sql()["dedupe_first"]).fetchall()
+    assert sorted(map(tuple, registry.queries()["dedupe_first"](spark, str(tmp_path)).collect())) == sorted(want)
+    assert all(r[2] < 14 for r in want)
