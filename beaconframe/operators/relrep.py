@@ -3,17 +3,29 @@
 An item's representation is its top-k anchors with processed similarities, in long form
 (id, anchor_id, w).  Scores of captions and images are a join on the anchor id with a sum:
 the shuffle by anchor is the inverted index, and Spark splits popular anchors (AQE).
+
+Where every pair is wanted, or a count for each caption over all pairs, the pairs aren't
+shuffled: representations are packed into sparse blocks, and each task reads all blocks of
+images past its blocks of captions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from beaconframe.functions.ids import running_total
+from beaconframe.functions.scratch import materialize
 from beaconframe.functions.vectors import EPS, process_weight
 
-from .topk import PLACES
+from .topk import PLACES, streamed
+
+#: Products of two sparse blocks that are held at once, and bytes of items that wait for their block to fill.
+PRODUCTS, WAITING = 2_000_000, 64_000_000
 
 
 def weights(topk: DataFrame, *, proc: str = "asif", p: int = 8, clamp_min: float | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -33,6 +45,115 @@ def scores(captions: DataFrame, images: DataFrame, keys: tuple[str, ...] = ()) -
     return found.withColumn("score", F.round("score", PLACES))
 
 
+def _items(representations: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(set, id, at, w): a row for each item with its anchors in ascending order."""
+    held = representations.groupBy(*keys, "id").agg(F.sort_array(F.collect_list(F.struct("anchor_id", "w"))).alias("e"))
+    return held.select(F.concat_ws("\0", *keys).alias("set") if keys else F.lit("").alias("set"), "id", F.col("e.anchor_id").alias("at"), F.col("e.w").alias("w"))
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of lists, 0 for null, and all their values."""
+    values = lists.flatten().to_numpy(zero_copy_only=False)
+    return np.bincount(lists.value_parent_indices().to_numpy(), minlength=len(lists)), values
+
+
+_EXTRA = {"gt": "<i8", "g": "<f8"}
+
+
+def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Items as blocks of up to ``rows`` of one set: (set, ids, n, at, w, extra...) as bytes under the prefix ``name``; null lists are empty."""
+
+    def block(which: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        part = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        n, at = _flat(part.column("at"))
+        cols = [part.column("id").to_numpy().astype("<i8"), n.astype("<i8"), at.astype("<i8"), _flat(part.column("w"))[1].astype("<f8"), *(part.column(c).to_numpy(zero_copy_only=False).astype(_EXTRA[c]) for c in extra)]
+        names = [f"{name}_{c}" for c in ("ids", "n", "at", "w", *extra)]
+        return pa.RecordBatch.from_arrays([pa.array([which]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["set", *names])
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[pa.RecordBatch]] = {}
+        size = 0
+        for batch in parts:
+            batch = batch.take(pa.array(np.argsort(batch.column("set").to_numpy(zero_copy_only=False).astype(str), kind="stable")))
+            sets = batch.column("set").to_numpy(zero_copy_only=False).astype(str)
+            ends = [*np.flatnonzero(sets[1:] != sets[:-1]) + 1, len(sets)] if len(sets) else []
+            for begin, end in zip([0, *ends], ends, strict=False):
+                which = str(sets[begin])
+                while begin < end:
+                    mine = held.setdefault(which, [])
+                    mine.append(batch.slice(begin, min(end - begin, rows - sum(p.num_rows for p in mine))))
+                    begin += mine[-1].num_rows
+                    if sum(p.num_rows for p in mine) == rows:
+                        yield block(which, held.pop(which))
+            size += batch.nbytes
+            if size > WAITING:
+                yield from (block(which, mine) for which, mine in held.items())
+                held, size = {}, 0
+        yield from (block(which, mine) for which, mine in held.items())
+
+    return items.mapInArrow(pack, "set string, " + ", ".join(f"{name}_{c} binary" for c in ("ids", "n", "at", "w", *extra)))
+
+
+def _block(cell: dict, name: str) -> tuple[np.ndarray, ...]:
+    """(ids, row, anchor, weight) of the entries of a block."""
+    n = np.frombuffer(cell[f"{name}_n"], "<i8")
+    return np.frombuffer(cell[f"{name}_ids"], "<i8"), np.repeat(np.arange(len(n)), n), np.frombuffer(cell[f"{name}_at"], "<i8"), np.frombuffer(cell[f"{name}_w"], "<f8")
+
+
+def _products(cell: dict, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The pairs of a block of captions and one of images that share an anchor, for up to ``most`` captions at a time:
+    (first caption, end, caption's row, image's row, rounded score), summed in the order of anchors."""
+    c_ids, c_row, c_at, c_w = _block(cell, "c")
+    i_ids, i_row, i_at, i_w = _block(cell, "i")
+    order = np.argsort(i_at, kind="stable")
+    i_row, i_at, i_w = i_row[order], i_at[order], i_w[order]
+    begin = np.searchsorted(i_at, c_at, "left")
+    n = np.searchsorted(i_at, c_at, "right") - begin
+    entries = np.searchsorted(c_row, np.arange(len(c_ids) + 1))
+    before = np.concatenate([[0], np.cumsum(n)])[entries]
+    first = 0
+    while first < len(c_ids):
+        end = min(len(c_ids), first + most, max(first + 1, int(np.searchsorted(before, before[first] + PRODUCTS, "right")) - 1))
+        e = slice(entries[first], entries[end])
+        many = n[e]
+        where = np.arange(many.sum()) + np.repeat(begin[e] - (np.cumsum(many) - many), many)
+        key = np.repeat(c_row[e], many) * len(i_ids) + i_row[where]
+        order = np.argsort(key, kind="stable")
+        key, value = key[order], (np.repeat(c_w[e], many) * i_w[where])[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
+        score = np.bincount(np.cumsum(new) - 1, value) if len(key) else np.empty(0)
+        yield first, end, key[new] // len(i_ids), key[new] % len(i_ids), np.round(score, PLACES)
+        first = end
+
+
+def dense_scores(captions: DataFrame, images: DataFrame, all_captions: DataFrame, all_images: DataFrame) -> DataFrame:
+    """(caption_id, image_idx, score) of all captions and images, 0 where they share no anchor.
+
+    The same as ``zero_filled`` of ``scores``; rows of the grid are made where they are
+    written, and neither they nor the scores are shuffled.
+    """
+
+    def items(every: DataFrame, key: str, representations: DataFrame) -> DataFrame:
+        return every.select(F.col(key).alias("id")).join(_items(representations, ()).drop("set"), "id", "left").select(F.lit("").alias("set"), "id", "at", "w")
+
+    def fill(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for at in range(batch.num_rows):
+                cell = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                c_ids, i_ids = (np.frombuffer(cell[c], "<i8") for c in ("c_ids", "i_ids"))
+                for first, end, c, i, score in _products(cell, max(1, 500_000 // len(i_ids))):
+                    dense = np.zeros((end - first, len(i_ids)))
+                    dense[c - first, i] = score
+                    ends = pa.array(np.arange(end - first + 1, dtype="<i4") * len(i_ids))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (np.tile(i_ids, end - first), dense.ravel())]
+                    yield pa.RecordBatch.from_arrays([pa.array(c_ids[first:end]), *lists], names=["caption_id", "ids", "scores"])
+
+    i = materialize(_blocks(items(all_images, "image_idx", images), "i", 8192), "blocks-images")
+    c = materialize(_blocks(items(all_captions, "caption_id", captions), "c", 512), "blocks-captions")
+    grid = streamed(i, c.repartition(max(1, c.count()))).mapInArrow(fill, "caption_id long, ids array<long>, scores array<double>")
+    return grid.select("caption_id", "ids", F.posexplode("scores").alias("_at", "score")).select("caption_id", F.col("ids")[F.col("_at")].alias("image_idx"), "score")
+
+
 def zero_filled(found: DataFrame, captions: DataFrame, images: DataFrame) -> DataFrame:
     """The dense form: a row for each caption and image, 0 where they share no anchor."""
     grid = captions.select("caption_id").crossJoin(images.select("image_idx"))
@@ -53,12 +174,70 @@ def ground_truth_rank(found: DataFrame, truth: DataFrame, n_images: Column, keys
     counted = stored.groupBy(*on).agg(
         F.first("gt_score").alias("gt_score"), F.count_if((s > g) | ((s == g) & (at < F.col("gt")))).alias("ahead"), F.count(F.lit(1)).alias("stored"), F.count_if(at < F.col("gt")).alias("before")
     )
+    return _rank(truth, counted, n_images, on)
+
+
+def _rank(truth: DataFrame, counted: DataFrame, n_images: Column, on: list[str]) -> DataFrame:
+    """``truth`` with rank, from (on, gt_score, ahead, stored, before) of the captions with scores."""
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
     g = F.coalesce(F.col("gt_score"), F.lit(0.0))
     unstored = F.when(g < 0, n_images - n("stored")).when(g == 0, F.col("gt") - n("before")).otherwise(0)
     return truth.join(counted, on, "left").withColumn("rank", (1 + n("ahead") + unstored).cast("long")).drop("ahead", "stored", "before", "gt_score")
 
 
+def ground_truth_rank_of(captions: DataFrame, images: DataFrame, truth: DataFrame, n_images: Column, key: str) -> DataFrame:
+    """As ``ground_truth_rank`` of ``scores``, without a shuffle of scores: from representations (key, id, anchor_id, w).
+
+    Each caption gets the representation of its own image, and so the score that the others
+    are held against; then blocks of captions count the images ahead block by block.  ``key``
+    is a string, and truth has a row for each key and caption.
+    """
+    i = materialize(_blocks(_items(images, (key,)), "i", 8192), "blocks-images")
+
+    def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            for row in batch.to_pylist():
+                ids, of, at, w = _block(row, "i")
+                ends = pa.array(np.searchsorted(of, np.arange(len(ids) + 1)).astype("<i4"))
+                yield pa.RecordBatch.from_arrays([pa.array([row["set"]] * len(ids), pa.string()), pa.array(ids), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, w))], names=["set", "gt", "g_at", "g_w"])
+
+    def own_score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            (n, at), w = _flat(batch.column("at")), _flat(batch.column("w"))[1]
+            (g_n, g_at), g_w = _flat(batch.column("g_at")), _flat(batch.column("g_w"))[1]
+            code, coded = np.unique(np.concatenate([at, g_at]), return_inverse=True)
+            row = np.repeat(np.arange(len(n)), n)
+            mine, theirs = row * len(code) + coded[: len(at)], np.repeat(np.arange(len(g_n)), g_n) * len(code) + coded[len(at) :]
+            place = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
+            both = theirs[place] == mine if len(theirs) else np.zeros(len(mine), bool)
+            g = np.round(np.bincount(row[both], w[both] * g_w[place[both]], minlength=len(n)).astype(float), PLACES)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("set", "id", "gt", "at", "w")), pa.array(g)], names=["set", "id", "gt", "at", "w", "g"])
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, bytes], np.ndarray] = {}
+        scores: dict[tuple[str, bytes], np.ndarray] = {}
+        for batch in parts:
+            for at in range(batch.num_rows):
+                cell = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                block = (cell["set"], cell["c_ids"])
+                gt, g, i_ids = np.frombuffer(cell["c_gt"], "<i8"), np.frombuffer(cell["c_g"], "<f8"), np.frombuffer(cell["i_ids"], "<i8")
+                counts, scores[block] = found.setdefault(block, np.zeros((3, len(gt)), np.int64)), g
+                for first, end, c, i, s in _products(cell, len(gt)):
+                    earlier = i_ids[i] < gt[c]
+                    for k, which in enumerate((c[(s > g[c]) | ((s == g[c]) & earlier)], c, c[earlier])):
+                        counts[k, first:end] += np.bincount(which - first, minlength=end - first)
+        for (which, ids), counts in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array([which] * counts.shape[1], pa.string()), pa.array(np.frombuffer(ids, "<i8")), pa.array(scores[which, ids]), *map(pa.array, counts)], names=["_set", "caption_id", "gt_score", "ahead", "stored", "before"])
+
+    entries = "at array<long>, w array<double>"
+    own = i.mapInArrow(unpack, "set string, gt long, g_at array<long>, g_w array<double>")
+    wanted = truth.select(F.col(key).alias("set"), F.col("caption_id").alias("id"), F.col("gt").cast("long").alias("gt"))
+    scored = wanted.join(_items(captions, (key,)), ["set", "id"]).join(own, ["set", "gt"], "left").select("set", "id", "gt", "at", "w", "g_at", "g_w").mapInArrow(own_score, f"set string, id long, gt long, {entries}, g double")
+    c = materialize(_blocks(scored, "c", 2048, ("gt", "g")), "blocks-captions")
+    counted = streamed(i, c.repartition(max(1, c.count()))).mapInArrow(count, "_set string, caption_id long, gt_score double, ahead long, stored long, before long")
+    return _rank(truth, counted.withColumnRenamed("_set", key), n_images, [key, "caption_id"])
+
+
 def posting_counts(representations: DataFrame) -> DataFrame:
     """(anchor_id, n, start): how many items hold an anchor, and how many postings come before it."""
     n = representations.groupBy("anchor_id").agg(F.count(F.lit(1)).alias("n"))

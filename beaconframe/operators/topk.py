@@ -6,7 +6,8 @@ ascending), with similarities rounded to nine places before they are ranked.
 ``top_k_plan`` is the declarative form: a nested-loop join with a per-query rank, which
 Spark limits before and after the shuffle.  ``top_k_blocks`` packs both sides into matrix
 blocks and multiplies each pair of blocks in one call; a block row is a few MB, so neither
-side has to fit anywhere, and only each block's best rows go on to the final rank.
+side has to fit anywhere.  A task reads all blocks of anchors past its blocks of queries and
+keeps the best of each query, so that only those go on to the final rank.
 """
 
 from __future__ import annotations
@@ -66,26 +67,80 @@ def _rechunked(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def top_k_blocks(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
-    """As ``top_k_plan``; pairs of blocks whose vectors differ in length raise an error."""
+def streamed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of block rows, where each task holds its own part of ``right`` and reads all of ``left`` past it.
+
+    So a task sees all that a block of ``right`` is paired with, and can give results for the
+    block instead of for each pair.  Pairs of blocks with different ``set`` are left out where both have one.
+    """
+    left = left.coalesce(1).hint("shuffle_replicate_nl")
+    return left.join(right.withColumnRenamed("set", "_set"), F.col("set") == F.col("_set")).drop("_set") if "set" in left.columns else left.crossJoin(right)
+
+
+def _of_item(row: np.ndarray, s: np.ndarray, item: np.ndarray, n: int, k: int) -> tuple[np.ndarray, ...]:
+    """The best ``k`` of each of ``n`` rows as (row, s, item), in the order of rows and ranks, and what a further one must reach."""
+    order = np.lexsort((item, -s, row))
+    row, s, item = row[order], s[order], item[order]
+    count = np.bincount(row, minlength=n)
+    begin = np.cumsum(count) - count
+    keep = np.arange(len(row)) - begin[row] < k
+    least = np.full(n, -np.inf)
+    full = count >= k
+    least[full] = s[begin[full] + k - 1]
+    return row[keep], s[keep], item[keep], least
+
+
+def _multiply(k: int, subsets: bool):
+    """The function that multiplies pairs of blocks and gives the best ``k`` of each query (and subset) at the end."""
+    below = 10.0**-PLACES  # A product that is less by this can't be as large after rounding.
 
     def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[bytes, int], dict] = {}
         for batch in parts:
-            for row in range(batch.num_rows):
-                q_ids, q_m, q_d, a_ids, a_m, a_d = (batch.column(c)[row].as_py() for c in range(6))
-                if q_d != a_d:
-                    raise ValueError(f"vectors of {q_d} and {a_d} components")
-                q_ids, a_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(a_ids, "<i8")
-                anchors_t = np.frombuffer(a_m, "<f8").reshape(-1, a_d).T
-                for at in range(0, len(q_ids), 256):
-                    s = np.round(np.frombuffer(q_m, "<f8").reshape(-1, q_d)[at : at + 256] @ anchors_t, PLACES)
-                    # All that tie with the k-th go on; the final rank settles ties by id.
-                    worst = np.partition(s, -k, axis=1)[:, -k] if k < s.shape[1] else np.full(len(s), -np.inf)
-                    i, j = np.nonzero(s >= worst[:, None])
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[at + i]), pa.array(a_ids[j]), pa.array(s[i, j])], names=["id", "anchor_id", "s"])
-
-    pairs = _packed(queries, "id", query_rows, "q").crossJoin(_packed(anchors, "anchor_id", anchor_rows, "a"))
-    return ranked(pairs.mapInArrow(multiply, "id long, anchor_id long, s double"), k)
+            for at in range(batch.num_rows):
+                cell = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                a_ids, d = np.frombuffer(cell["a_ids"], "<i8"), cell["a_d"]
+                if cell["q_d"] != d:
+                    raise ValueError(f"vectors of {cell['q_d']} and {d} components")
+                anchors_t, q_m = np.frombuffer(cell["a_m"], "<f8").reshape(-1, d).T, np.frombuffer(cell["q_m"], "<f8").reshape(-1, d)
+                names = cell["a_sets"] if subsets else [None]
+                inside = np.unpackbits(np.frombuffer(cell["a_bits"], np.uint8).reshape(len(names), -1), axis=1, count=len(a_ids)).astype(bool) if subsets else [np.ones(len(a_ids), bool)]
+                for first in range(0, len(q_m), 256):
+                    s = q_m[first : first + 256] @ anchors_t
+                    held = best.setdefault((cell["q_ids"], first), {})
+                    empty = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.full(len(s), -np.inf))
+                    least = []
+                    for name, mine in zip(names, inside, strict=True):
+                        known = held.setdefault(name, empty)[3]
+                        if np.isinf(known).any() and (n := np.count_nonzero(mine)) > k:
+                            known = np.maximum(known, np.partition(s if n == len(mine) else s[:, mine], -k, axis=1)[:, -k])
+                        least.append(known)
+                    # One pass over the products for all subsets: what none of them can use goes first.
+                    i, j = np.nonzero(s >= np.minimum.reduce(least)[:, None] - below)
+                    x = s[i, j]
+                    for name, mine, known in zip(names, inside, least, strict=True):
+                        use = mine[j] & (x >= known[i] - below)
+                        row, old, item, _ = held[name]
+                        held[name] = _of_item(np.concatenate([row, i[use]]), np.concatenate([old, np.round(x[use], PLACES)]), np.concatenate([item, a_ids[j[use]]]), len(s), k)
+        for (q_ids, first), held in best.items():
+            ids = np.frombuffer(q_ids, "<i8")[first : first + 256]
+            for name, (row, s, item, _) in held.items():
+                found = {"id": pa.array(ids[row]), "anchor_id": pa.array(item), "s": pa.array(s)}
+                yield pa.RecordBatch.from_pydict(({"subset_id": pa.array([name] * len(row), pa.string())} if subsets else {}) | found)
+
+    return multiply
+
+
+def _spread(queries: DataFrame, query_rows: int) -> DataFrame:
+    """The blocks of the queries, one to a task."""
+    blocks = _packed(queries, "id", query_rows, "q")
+    return blocks.repartition(max(1, blocks.count()))
+
+
+def top_k_blocks(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
+    """As ``top_k_plan``; pairs of blocks whose vectors differ in length raise an error."""
+    pairs = streamed(_packed(anchors, "anchor_id", anchor_rows, "a"), _spread(queries, query_rows))
+    return ranked(pairs.mapInArrow(_multiply(k, False), "id long, anchor_id long, s double"), k)
 
 
 def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
@@ -105,26 +160,9 @@ def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows:
             cols = [pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // part.num_rows], pa.int32()), pa.array([coded.dictionary.to_pylist()], pa.list_(pa.string())), pa.array([np.packbits(inside, axis=1).tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["a_ids", "a_m", "a_d", "a_sets", "a_bits"])
 
-    def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for row in range(batch.num_rows):
-                q_ids, q_m, q_d, a_ids, a_m, a_d, a_sets, a_bits = (batch.column(c)[row].as_py() for c in range(8))
-                if q_d != a_d:
-                    raise ValueError(f"vectors of {q_d} and {a_d} components")
-                q_ids, a_ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(a_ids, "<i8")
-                anchors_t, bits = np.frombuffer(a_m, "<f8").reshape(-1, a_d).T, np.frombuffer(a_bits, np.uint8).reshape(len(a_sets), -1)
-                members = [np.flatnonzero(np.unpackbits(b, count=len(a_ids))) for b in bits]
-                for at in range(0, len(q_ids), 256):
-                    s = np.round(np.frombuffer(q_m, "<f8").reshape(-1, q_d)[at : at + 256] @ anchors_t, PLACES)
-                    for subset, mine in zip(a_sets, members, strict=True):
-                        part = s if len(mine) == len(a_ids) else s[:, mine]
-                        worst = np.partition(part, -k, axis=1)[:, -k] if k < part.shape[1] else np.full(len(part), -np.inf)
-                        i, j = np.nonzero(part >= worst[:, None])
-                        yield pa.RecordBatch.from_arrays([pa.array([subset] * len(i), pa.string()), pa.array(q_ids[at + i]), pa.array(a_ids[mine[j]]), pa.array(part[i, j])], names=["subset_id", "id", "anchor_id", "s"])
-
     rows = anchors.select(F.col("anchor_id").cast("long"), F.col("vec").cast("array<double>"), F.col("subsets").cast("array<string>")).where(F.size("vec") > 0)
     blocks = materialize(rows.mapInArrow(pack, "a_ids binary, a_m binary, a_d int, a_sets array<string>, a_bits binary"), "blocks-subsets")
-    found = _packed(queries, "id", query_rows, "q").crossJoin(blocks).mapInArrow(multiply, "subset_id string, id long, anchor_id long, s double")
+    found = streamed(blocks, _spread(queries, query_rows)).mapInArrow(_multiply(k, True), "subset_id string, id long, anchor_id long, s double")
     order = Window.partitionBy("subset_id", "id").orderBy(F.desc("s"), "anchor_id")
     return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
 

@@ -109,9 +109,13 @@ def rr_weights_asif(spark, sf_dir):
     return _weights(spark, sf_dir, proc="asif", p=P)
 
 
-def _scores(data, c):
+def _represented(data, c):
     how = {"proc": c.proc, "p": c.p}
-    return relrep.scores(relrep.weights(retrieve.caption_neighbours(data, c), **how), relrep.weights(retrieve.image_neighbours(data, c), **how))
+    return relrep.weights(retrieve.caption_neighbours(data, c), **how), relrep.weights(retrieve.image_neighbours(data, c), **how)
+
+
+def _scores(data, c):
+    return relrep.scores(*_represented(data, c))
 
 
 @query
@@ -122,7 +126,7 @@ def rr_scores_sparse(spark, sf_dir):
 @query
 def rr_scores_zero_filled(spark, sf_dir):
     data = evaluation(spark, sf_dir)
-    return relrep.zero_filled(_scores(data, config()), data.captions, data.images)
+    return relrep.dense_scores(*_represented(data, config()), data.captions, data.images)
 
 
 @query

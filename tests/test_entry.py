@@ -57,3 +57,26 @@ def test_dedupe_first_keeps_the_first_of_the_files(spark, tmp_path):
     want = db.execute(registry.oracle_sql()["dedupe_first"]).fetchall()
     assert sorted(map(tuple, registry.queries()["dedupe_first"](spark, str(tmp_path)).collect())) == sorted(want)
     assert all(r[2] < 14 for r in want)
+
+
+def shuffled(spark):
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def shuffled_by(spark, query):
+    before, usual = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        registry.queries()[query](spark, str(DATA)).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    return shuffled(spark) - before
+
+
+def test_the_grid_of_scores_is_not_shuffled(spark):
+    """500 captions and images: a grid of 250,000 rows, of which 21 neighbours of each item and modality are shuffled."""
+    assert shuffled_by(spark, "rr_scores_zero_filled") < 100_000

@@ -110,6 +110,26 @@ def test_norm_is_asif_with_p_1(spark):
     assert a == b and a[2, 1] == 0.0 and math.isclose(a[1, 1] ** 2 + a[1, 2] ** 2, 1)
 
 
+def representations(rng, n, anchors, k):
+    """Some items without anchors, some with equal ones, weights of both signs."""
+    rows = []
+    for i in range(n):
+        own = rng.choice(anchors, k, replace=False) if i % 5 else [0, 1]
+        rows += [(i, int(a), float(w)) for a, w in zip(own, rng.choice([-0.5, 0.25, 0.5, 1.0], k), strict=False) if i % 7 != 3]
+    return rows
+
+
+def test_dense_scores_are_the_filled_ones(spark, monkeypatch):
+    monkeypatch.setattr(relrep, "PRODUCTS", 40)
+    rng = np.random.default_rng(8)
+    c, i = (spark.createDataFrame(representations(rng, n, 12, 4), "id long, anchor_id long, w double") for n in (23, 31))
+    captions, images = spark.range(23).withColumnRenamed("id", "caption_id"), spark.range(31).withColumnRenamed("id", "image_idx")
+    want = relrep.zero_filled(relrep.scores(c, i), captions, images).select("caption_id", "image_idx", "score")
+    got = relrep.dense_scores(c, i, captions, images)
+    assert got.count() == 23 * 31 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.data())
 def test_analytic_rank_is_the_dense_rank(spark, data):
