@@ -25,7 +25,7 @@ from beaconframe.functions.vectors import EPS, process_weight
 from .topk import PLACES, streamed
 
 #: Products of two sparse blocks that are held at once, and bytes of items that wait for their block to fill.
-PRODUCTS, WAITING = 2_000_000, 64_000_000
+PRODUCTS, WAITING = 500_000, 64_000_000
 
 
 def weights(topk: DataFrame, *, proc: str = "asif", p: int = 8, clamp_min: float | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -60,8 +60,11 @@ def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 _EXTRA = {"gt": "<i8", "g": "<f8"}
 
 
-def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Items as blocks of up to ``rows`` of one set: (set, ids, n, at, w, extra...) as bytes under the prefix ``name``; null lists are empty."""
+def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = (), made=iter) -> DataFrame:
+    """Items as blocks of up to ``rows`` of one set: (set, ids, n, at, w, extra...) as bytes under the prefix ``name``; null lists are empty.
+
+    ``made`` makes the items' batches from those of the plan, in the same worker.
+    """
 
     def block(which: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
@@ -73,7 +76,7 @@ def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = ())
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[pa.RecordBatch]] = {}
         size = 0
-        for batch in parts:
+        for batch in made(parts):
             batch = batch.take(pa.array(np.argsort(batch.column("set").to_numpy(zero_copy_only=False).astype(str), kind="stable")))
             sets = batch.column("set").to_numpy(zero_copy_only=False).astype(str)
             ends = [*np.flatnonzero(sets[1:] != sets[:-1]) + 1, len(sets)] if len(sets) else []
@@ -229,11 +232,10 @@ def ground_truth_rank_of(captions: DataFrame, images: DataFrame, truth: DataFram
         for (which, ids), counts in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([which] * counts.shape[1], pa.string()), pa.array(np.frombuffer(ids, "<i8")), pa.array(scores[which, ids]), *map(pa.array, counts)], names=["_set", "caption_id", "gt_score", "ahead", "stored", "before"])
 
-    entries = "at array<long>, w array<double>"
     own = i.mapInArrow(unpack, "set string, gt long, g_at array<long>, g_w array<double>")
     wanted = truth.select(F.col(key).alias("set"), F.col("caption_id").alias("id"), F.col("gt").cast("long").alias("gt"))
-    scored = wanted.join(_items(captions, (key,)), ["set", "id"]).join(own, ["set", "gt"], "left").select("set", "id", "gt", "at", "w", "g_at", "g_w").mapInArrow(own_score, f"set string, id long, gt long, {entries}, g double")
-    c = materialize(_blocks(scored, "c", 2048, ("gt", "g")), "blocks-captions")
+    scored = wanted.join(_items(captions, (key,)), ["set", "id"]).join(own, ["set", "gt"], "left").select("set", "id", "gt", "at", "w", "g_at", "g_w")
+    c = materialize(_blocks(scored, "c", 2048, ("gt", "g"), own_score), "blocks-captions")
     counted = streamed(i, c.repartition(max(1, c.count()))).mapInArrow(count, "_set string, caption_id long, gt_score double, ahead long, stored long, before long")
     return _rank(truth, counted.withColumnRenamed("_set", key), n_images, [key, "caption_id"])
 

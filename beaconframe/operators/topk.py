@@ -23,6 +23,8 @@ from beaconframe.functions.scratch import materialize
 from beaconframe.functions.vectors import dot
 
 PLACES = 9
+#: Queries that are multiplied with a block of anchors at once.
+SLICE = 128
 
 
 def ranked(scores: DataFrame, k: int, group: str = "id", item: str = "anchor_id", score: str = "s", rank: str = "rk") -> DataFrame:
@@ -105,8 +107,8 @@ def _multiply(k: int, subsets: bool):
                 anchors_t, q_m = np.frombuffer(cell["a_m"], "<f8").reshape(-1, d).T, np.frombuffer(cell["q_m"], "<f8").reshape(-1, d)
                 names = cell["a_sets"] if subsets else [None]
                 inside = np.unpackbits(np.frombuffer(cell["a_bits"], np.uint8).reshape(len(names), -1), axis=1, count=len(a_ids)).astype(bool) if subsets else [np.ones(len(a_ids), bool)]
-                for first in range(0, len(q_m), 256):
-                    s = q_m[first : first + 256] @ anchors_t
+                for first in range(0, len(q_m), SLICE):
+                    s = q_m[first : first + SLICE] @ anchors_t
                     held = best.setdefault((cell["q_ids"], first), {})
                     empty = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64), np.full(len(s), -np.inf))
                     least = []
@@ -123,7 +125,7 @@ def _multiply(k: int, subsets: bool):
                         row, old, item, _ = held[name]
                         held[name] = _of_item(np.concatenate([row, i[use]]), np.concatenate([old, np.round(x[use], PLACES)]), np.concatenate([item, a_ids[j[use]]]), len(s), k)
         for (q_ids, first), held in best.items():
-            ids = np.frombuffer(q_ids, "<i8")[first : first + 256]
+            ids = np.frombuffer(q_ids, "<i8")[first : first + SLICE]
             for name, (row, s, item, _) in held.items():
                 found = {"id": pa.array(ids[row]), "anchor_id": pa.array(item), "s": pa.array(s)}
                 yield pa.RecordBatch.from_pydict(({"subset_id": pa.array([name] * len(row), pa.string())} if subsets else {}) | found)

@@ -166,9 +166,8 @@ def subset_ablation(data: EvaluationSet, config: RetrievalConfig, subsets: DataF
     whole = RetrievalConfig(**{**asdict(config), "anchor_n": None})
     texts = represented(_unit(chosen_captions(data, config), "caption_id"), data.bank("txt_vec", whole))
     images = represented(_unit(data.images, "image_idx"), data.bank("img_vec", whole))
-    found = relrep.scores(texts, images, keys=("subset_id",))
     truth = queries_of(data, config).crossJoin(subsets.select(F.col("subset_id").cast("string").alias("subset_id")).distinct()).crossJoin(data.images.agg(F.count(F.lit(1)).alias("n_images")))
-    return evaluate.recall_table(relrep.ground_truth_rank(found, truth, F.col("n_images"), keys=("subset_id",)), list(config.ks), keys=("subset_id",))
+    return evaluate.recall_table(relrep.ground_truth_rank_of(texts, images, truth, F.col("n_images"), "subset_id"), list(config.ks), keys=("subset_id",))
 
 
 def random_grid(percentages: DataFrame, repeats: int, seed_start: int = 0, repeat_full: bool = False) -> DataFrame:

@@ -80,3 +80,8 @@ def shuffled_by(spark, query):
 def test_the_grid_of_scores_is_not_shuffled(spark):
     """500 captions and images: a grid of 250,000 rows, of which 21 neighbours of each item and modality are shuffled."""
     assert shuffled_by(spark, "rr_scores_zero_filled") < 100_000
+
+
+def test_scores_of_subsets_are_not_shuffled(spark):
+    """500 items in seven subsets: 21 neighbours of each item, modality and subset are shuffled, not the pairs they score."""
+    assert shuffled_by(spark, "random_ablation_runs") < 400_000

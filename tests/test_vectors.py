@@ -130,6 +130,18 @@ def test_dense_scores_are_the_filled_ones(spark, monkeypatch):
     assert got.columns == want.columns and got.dtypes == want.dtypes
 
 
+def test_rank_of_blocks_is_the_rank_of_scores(spark, monkeypatch):
+    """Two subsets; captions and images without anchors, scores under 0 and equal ones."""
+    monkeypatch.setattr(relrep, "PRODUCTS", 40)
+    rng = np.random.default_rng(9)
+    c, i = (spark.createDataFrame([(s, *r) for s in "ab" for r in representations(rng, n, 12, 4)], "subset_id string, id long, anchor_id long, w double") for n in (23, 31))
+    truth = spark.createDataFrame([(s, j, int(rng.integers(31)), "en") for s in "ab" for j in range(23)], "subset_id string, caption_id long, gt long, language string")
+    want = relrep.ground_truth_rank(relrep.scores(c, i, ("subset_id",)), truth, F.lit(31), ("subset_id",))
+    got = relrep.ground_truth_rank_of(c, i, truth, F.lit(31), "subset_id").select(want.columns)
+    assert got.dtypes == want.dtypes and got.count() == 46
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @settings(max_examples=12, deadline=None)
 @given(st.data())
 def test_analytic_rank_is_the_dense_rank(spark, data):
