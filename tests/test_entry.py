@@ -85,3 +85,7 @@ def test_the_grid_of_scores_is_not_shuffled(spark):
 def test_scores_of_subsets_are_not_shuffled(spark):
     """500 items in seven subsets: 21 neighbours of each item, modality and subset are shuffled, not the pairs they score."""
     assert shuffled_by(spark, "random_ablation_runs") < 400_000
+
+
+def test_scores_of_repeated_subsets_are_not_shuffled(spark):
+    assert shuffled_by(spark, "random_ablation_mean_std") < 400_000
