@@ -3,8 +3,10 @@
 Both give (id, anchor_id, s, rk) in the total order (similarity descending, anchor id
 ascending), with similarities rounded to nine places before they are ranked.
 
-``top_k_plan`` is the declarative form: a nested-loop join with a per-query rank, which
-Spark limits before and after the shuffle.  ``top_k_blocks`` packs both sides into matrix
+``top_k_plan`` is the declarative form: a nested-loop join with a per-query rank.  The k-th
+best similarity among a part of the anchors is one that the k-th best of all isn't below, so
+passes over more and more anchors give a bound, and the last, which reads all, rounds and
+sorts only pairs that reach it.  ``top_k_blocks`` packs both sides into matrix
 blocks and multiplies each pair of blocks in one call; a block row is a few MB, so neither
 side has to fit anywhere.  A task reads all blocks of anchors past its blocks of queries and
 keeps the best of each query, so that only those go on to the final rank.
@@ -12,7 +14,10 @@ keeps the best of each query, so that only those go on to the final rank.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +30,9 @@ from beaconframe.functions.vectors import dot
 PLACES = 9
 #: Queries that are multiplied with a block of anchors at once.
 SLICE = 128
+#: Of the plan: components that are written out, for Spark compiles a join of up to 100 columns (longer vectors are
+#: multiplied as arrays, which is slow); bytes of anchors that are sent to all workers; pairs for a task; anchors of a pass for one of the pass before.
+WRITTEN, SENT, PAIRS, STEP = 48, 64_000_000, 20_000_000, 8
 
 
 def ranked(scores: DataFrame, k: int, group: str = "id", item: str = "anchor_id", score: str = "s", rank: str = "rk") -> DataFrame:
@@ -33,10 +41,42 @@ def ranked(scores: DataFrame, k: int, group: str = "id", item: str = "anchor_id"
     return scores.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
+def _levels(n: int, k: int) -> list[int]:
+    """One in how many of ``n`` anchors each pass reads; the last reads all."""
+    levels = [1]
+    while n // (levels[0] * STEP) >= 4 * k:
+        levels.insert(0, levels[0] * STEP)
+    return levels
+
+
 def top_k_plan(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     """``queries`` (id, vec) against ``anchors`` (anchor_id, vec); vectors are unit and of one length."""
-    pairs = queries.select("id", F.col("vec").alias("q")).crossJoin(anchors.select("anchor_id", F.col("vec").alias("a")))
-    return ranked(pairs.select("id", "anchor_id", F.round(dot("q", "a"), PLACES).alias("s")), k)
+    q, a = (materialize(rows.select(F.col(key), F.col("vec").cast("array<double>").alias("vec")), f"plan-{key}") for rows, key in ((queries, "id"), (anchors, "anchor_id")))
+    (n_q, *sizes_q), (n_a, *sizes_a) = (rows.agg(F.count(F.lit(1)), F.min(F.when(F.col("vec").isNotNull(), F.size("vec"))), F.max(F.size("vec"))).first() for rows in (q, a))
+    d = sizes_q[1] if len({*sizes_q, *sizes_a}) == 1 else None
+    if written := d is not None and 0 < d <= WRITTEN:
+        # Only the first component is null, where any is, so that code for a pair asks once.
+        whole = F.when(~F.exists("vec", F.isnull), F.get("vec", F.lit(0)))
+        q, a = (rows.select(key, *((whole if i == 0 else F.coalesce(F.get("vec", F.lit(i)), F.lit(0.0))).alias(f"{name}{i}") for i in range(d))) for rows, key, name in ((q, "id", "q"), (a, "anchor_id", "a")))
+        product = reduce(add, (F.col(f"q{i}") * F.col(f"a{i}") for i in range(d)))
+    else:
+        q, a = q.withColumnRenamed("vec", "q"), a.withColumnRenamed("vec", "a")
+        product = dot("q", "a")
+    tasks = max(2 * q.sparkSession.sparkContext.defaultParallelism, n_q * n_a // PAIRS)
+    bound = None
+    for level in _levels(n_a, k):
+        some = a.where(F.pmod(F.xxhash64("anchor_id"), F.lit(level)) == 0) if level > 1 else a
+        some = some.hint("broadcast" if n_a // level * 8 * ((d or 0) + 2) <= SENT and written else "shuffle_replicate_nl")
+        if bound is None:
+            pairs = q.repartition(tasks, "id").crossJoin(some)
+        else:
+            # What is below this by less than a rounding step may still be among the best.
+            least = F.coalesce(F.col("_bound") - 10.0**-PLACES, F.lit(-math.inf))
+            pairs = q.join(bound, "id", "left").select(*q.columns, least.alias("_least")).repartition(tasks, "id").join(some, F.coalesce(product, F.lit(-math.inf)) >= F.col("_least"))
+        found = ranked(pairs.select("id", "anchor_id", F.round(product, PLACES).alias("s")), k)
+        if level > 1:
+            bound = materialize(found.where(F.col("rk") == k).select("id", F.col("s").alias("_bound")), "plan-bound")
+    return found
 
 
 def _packed(rows: DataFrame, key: str, block_rows: int, name: str) -> DataFrame:

@@ -85,6 +85,44 @@ def test_kernel_and_plan_agree(spark):
     assert {tuple(r)[:2] for r in longer.collect()} == {x[:2] for x in want}
 
 
+def joined(df):
+    """Rows that the nested loops of ``df`` gave in its last run."""
+    found, left = 0, [df._jdf.queryExecution().executedPlan()]
+    while left:
+        node = left.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            left.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            left.append(node.plan())
+        if node.nodeName() in ("BroadcastNestedLoopJoin", "CartesianProduct"):
+            found += node.metrics().apply("numOutputRows").value()
+        left += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize(("d", "sent"), [(16, topk.SENT), (16, 0), (60, topk.SENT)])
+def test_plan_sorts_only_pairs_that_reach_its_bound(spark, monkeypatch, d, sent):
+    monkeypatch.setattr(topk, "SENT", sent)
+    rng = np.random.default_rng(6)
+    m = rng.standard_normal((400, d))
+    m[50:90] = m[7]  # copies: the smaller ids come first, whichever of them a pass reads
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    best = topk.top_k_plan(frames(spark, m, "id"), frames(spark, m, "anchor_id"), 5)
+    assert {(r[0], r[1], r[3]) for r in best.collect()} == {(i, j, r) for i, j, _, r in brute(m, m, 5)}
+    assert 400 * 5 <= joined(best) < 400 * 400 / 3
+
+
+def test_plan_ranks_vectors_without_similarity_last(spark):
+    """Null vectors and null components have no similarity, and other lengths neither."""
+    rows = [(i, [1.0, i / 100, 0.0]) for i in range(60)] + [(60, None), (61, [1.0, None, 0.0]), (62, [None, 1.0, 0.0])]
+    for more in ([], [(63, [1.0, 1.0])]):
+        q, a = (spark.createDataFrame(rows + more, f"{key} long, vec array<double>") for key in ("id", "anchor_id"))
+        got = topk.top_k_plan(q, a, 3).collect()
+        assert [(r["anchor_id"], r["s"]) for r in sorted(got, key=lambda r: r["rk"]) if r["id"] == 61] == [(0, None), (1, None), (2, None)]
+        assert [r["anchor_id"] for r in sorted(got, key=lambda r: r["rk"]) if r["id"] == 2] == [59, 58, 57]
+        assert len(got) == 3 * len(rows + more)
+
+
 def test_kernel_checks_dimensions(spark):
     with pytest.raises(Exception, match="components"):
         topk.top_k_blocks(frames(spark, np.ones((2, 3)), "id"), frames(spark, np.ones((2, 4)), "anchor_id"), 1).collect()
