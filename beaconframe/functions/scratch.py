@@ -31,12 +31,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write a slim intermediate result to the shared folder and read it again.
 
     This cuts the lineage, so a lost executor costs the tasks that read the files and not
-    what made them, and a result that is used twice is computed once.
+    what made them, and a result that is used twice is computed once.  Python workers get
+    ``batch`` rows at once, for rows of a few MB; the session's number if it is None.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    usual = conf.get(_BATCH)
+    try:
+        if batch is not None:
+            conf.set(_BATCH, batch)
+        df.write.parquet(path)
+    finally:
+        conf.set(_BATCH, usual)
     return df.sparkSession.read.schema(df.schema).parquet(path)

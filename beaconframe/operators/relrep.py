@@ -6,12 +6,13 @@ the shuffle by anchor is the inverted index, and Spark splits popular anchors (A
 
 Where every pair is wanted, or a count for each caption over all pairs, the pairs aren't
 shuffled: representations are packed into sparse blocks, and each task reads all blocks of
-images past its blocks of captions.
+images past its blocks of captions.  ``weighted_blocks`` makes such blocks where the
+neighbours are found, so that those aren't shuffled either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from .topk import PLACES, streamed
 
 #: Products of two sparse blocks that are held at once, and bytes of items that wait for their block to fill.
 PRODUCTS, WAITING = 500_000, 64_000_000
+#: Pairs of blocks, of a few MB each, that a worker gets at once.
+BATCH = 4
 
 
 def weights(topk: DataFrame, *, proc: str = "asif", p: int = 8, clamp_min: float | None = None, keys: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -69,7 +72,8 @@ def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = (),
     def block(which: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         part = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         n, at = _flat(part.column("at"))
-        cols = [part.column("id").to_numpy().astype("<i8"), n.astype("<i8"), at.astype("<i8"), _flat(part.column("w"))[1].astype("<f8"), *(part.column(c).to_numpy(zero_copy_only=False).astype(_EXTRA[c]) for c in extra)]
+        short = not len(at) or -(2**31) <= at.min() and at.max() < 2**31
+        cols = [part.column("id").to_numpy().astype("<i8"), n.astype("<i8"), at.astype("<i4" if short else "<i8"), _flat(part.column("w"))[1].astype("<f8"), *(part.column(c).to_numpy(zero_copy_only=False).astype(_EXTRA[c]) for c in extra)]
         names = [f"{name}_{c}" for c in ("ids", "n", "at", "w", *extra)]
         return pa.RecordBatch.from_arrays([pa.array([which]), *(pa.array([c.tobytes()], pa.binary()) for c in cols)], names=["set", *names])
 
@@ -100,7 +104,27 @@ def _blocks(items: DataFrame, name: str, rows: int, extra: tuple[str, ...] = (),
 def _block(cell: dict, name: str) -> tuple[np.ndarray, ...]:
     """(ids, row, anchor, weight) of the entries of a block."""
     n = np.frombuffer(cell[f"{name}_n"], "<i8")
-    return np.frombuffer(cell[f"{name}_ids"], "<i8"), np.repeat(np.arange(len(n)), n), np.frombuffer(cell[f"{name}_at"], "<i8"), np.frombuffer(cell[f"{name}_w"], "<f8")
+    w = np.frombuffer(cell[f"{name}_w"], "<f8")
+    at = np.frombuffer(cell[f"{name}_at"], "<i4" if len(cell[f"{name}_at"]) == 4 * len(w) else "<i8").astype("<i8")
+    return np.frombuffer(cell[f"{name}_ids"], "<i8"), np.repeat(np.arange(len(n)), n), at, w
+
+
+def weighted_blocks(pairs: DataFrame, lists: Callable, name: str, *, proc: str = "asif", p: int = 8, clamp_min: float | None = None, rows: int = 2048, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks of the representations of ``topk.top_k_lists``, made by the workers that find the neighbours; the weights of ``weights``."""
+    process_weight(F.lit(0.0), proc, p, clamp_min)
+
+    def weighted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in lists(parts):
+            (n, at), v = _flat(batch.column("at")), _flat(batch.column("s"))[1]
+            row = np.repeat(np.arange(len(n)), n)
+            v = v if clamp_min is None else np.maximum(v, clamp_min)
+            v = np.power(v, float(p)) if proc == "asif" else v
+            w = v if proc == "none" else v / np.maximum(np.sqrt(np.bincount(row, v * v, minlength=len(n))), EPS)[row]
+            order = np.lexsort((at, row))
+            ends = batch.column("at").offsets
+            yield pa.RecordBatch.from_arrays([batch.column("subset_id"), batch.column("id"), *(batch.column(c) for c in extra), *(pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (at, w))], names=["set", "id", *extra, "at", "w"])
+
+    return _blocks(pairs, name, rows, extra, weighted)
 
 
 def _products(cell: dict, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -191,30 +215,49 @@ def _rank(truth: DataFrame, counted: DataFrame, n_images: Column, on: list[str])
 def ground_truth_rank_of(captions: DataFrame, images: DataFrame, truth: DataFrame, n_images: Column, key: str) -> DataFrame:
     """As ``ground_truth_rank`` of ``scores``, without a shuffle of scores: from representations (key, id, anchor_id, w).
 
-    Each caption gets the representation of its own image, and so the score that the others
-    are held against; then blocks of captions count the images ahead block by block.  ``key``
-    is a string, and truth has a row for each key and caption.
+    ``key`` is a string, and truth has a row for each key and caption.
     """
-    i = materialize(_blocks(_items(images, (key,)), "i", 8192), "blocks-images")
+    wanted = truth.select(F.col(key).alias("set"), F.col("caption_id").alias("id"), F.col("gt").cast("long").alias("gt"))
+    c = materialize(_blocks(wanted.join(_items(captions, (key,)), ["set", "id"]), "c", 2048, ("gt",)), "blocks-captions")
+    return rank_of_blocks(c.repartition(max(1, c.count())), _blocks(_items(images, (key,)), "i", 8192), truth, n_images, key)
 
-    def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for row in batch.to_pylist():
-                ids, of, at, w = _block(row, "i")
-                ends = pa.array(np.searchsorted(of, np.arange(len(ids) + 1)).astype("<i4"))
-                yield pa.RecordBatch.from_arrays([pa.array([row["set"]] * len(ids), pa.string()), pa.array(ids), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at, w))], names=["set", "gt", "g_at", "g_w"])
 
-    def own_score(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_scores(cell: dict, gt: np.ndarray, g: np.ndarray) -> None:
+    """Set ``g``, the scores of captions and their own images, of those whose image is in the cell's block."""
+    i_ids, i_row, i_at, i_w = _block(cell, "i")
+    _, c_row, c_at, c_w = _block(cell, "c")
+    order = np.argsort(i_ids)
+    place = order[np.minimum(np.searchsorted(i_ids[order], gt), len(order) - 1)]
+    here = i_ids[place] == gt
+    e = here[c_row]
+    c_row, c_at, c_w = c_row[e], c_at[e], c_w[e]
+    code, coded = np.unique(np.concatenate([c_at, i_at]), return_inverse=True)
+    mine, theirs = place[c_row] * len(code) + coded[: len(c_at)], i_row * len(code) + coded[len(c_at) :]
+    at = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
+    both = theirs[at] == mine if len(theirs) else np.zeros(len(mine), bool)
+    g[here] = np.round(np.bincount(c_row[both], c_w[both] * i_w[at[both]], minlength=len(gt)).astype(float), PLACES)[here]
+
+
+def rank_of_blocks(captions: DataFrame, images: DataFrame, truth: DataFrame, n_images: Column, key: str) -> DataFrame:
+    """``ground_truth_rank_of`` from blocks of captions with gt and of images, which are written; those of captions stay in their tasks.
+
+    A task reads all blocks of images past its blocks of captions twice: for the score of each
+    caption's own image, and to count the images ahead of that.
+    """
+    i = materialize(images, "blocks-images", BATCH)
+    c_schema = "set string, c_ids binary, c_n binary, c_at binary, c_w binary, c_gt binary, c_g binary"
+    c_names = [c.split()[0] for c in c_schema.split(", ")]
+
+    def own(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[tuple[str, bytes], tuple[dict, np.ndarray]] = {}
         for batch in parts:
-            (n, at), w = _flat(batch.column("at")), _flat(batch.column("w"))[1]
-            (g_n, g_at), g_w = _flat(batch.column("g_at")), _flat(batch.column("g_w"))[1]
-            code, coded = np.unique(np.concatenate([at, g_at]), return_inverse=True)
-            row = np.repeat(np.arange(len(n)), n)
-            mine, theirs = row * len(code) + coded[: len(at)], np.repeat(np.arange(len(g_n)), g_n) * len(code) + coded[len(at) :]
-            place = np.minimum(np.searchsorted(theirs, mine), max(0, len(theirs) - 1))
-            both = theirs[place] == mine if len(theirs) else np.zeros(len(mine), bool)
-            g = np.round(np.bincount(row[both], w[both] * g_w[place[both]], minlength=len(n)).astype(float), PLACES)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("set", "id", "gt", "at", "w")), pa.array(g)], names=["set", "id", "gt", "at", "w", "g"])
+            for at in range(batch.num_rows):
+                cell = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
+                gt = np.frombuffer(cell["c_gt"], "<i8")
+                block, g = blocks.setdefault((cell["set"], cell["c_ids"]), ({c: cell[c] for c in c_names[:-1]}, np.zeros(len(gt))))
+                _own_scores(cell, gt, g)
+        for block, g in blocks.values():
+            yield pa.RecordBatch.from_arrays([pa.array([block["set"]], pa.string()), *(pa.array([x], pa.binary()) for x in (*(block[c] for c in c_names[1:-1]), g.astype("<f8").tobytes()))], names=c_names)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[str, bytes], np.ndarray] = {}
@@ -232,12 +275,8 @@ def ground_truth_rank_of(captions: DataFrame, images: DataFrame, truth: DataFram
         for (which, ids), counts in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([which] * counts.shape[1], pa.string()), pa.array(np.frombuffer(ids, "<i8")), pa.array(scores[which, ids]), *map(pa.array, counts)], names=["_set", "caption_id", "gt_score", "ahead", "stored", "before"])
 
-    own = i.mapInArrow(unpack, "set string, gt long, g_at array<long>, g_w array<double>")
-    wanted = truth.select(F.col(key).alias("set"), F.col("caption_id").alias("id"), F.col("gt").cast("long").alias("gt"))
-    scored = wanted.join(_items(captions, (key,)), ["set", "id"]).join(own, ["set", "gt"], "left").select("set", "id", "gt", "at", "w", "g_at", "g_w")
-    c = materialize(_blocks(scored, "c", 2048, ("gt", "g"), own_score), "blocks-captions")
-    counted = streamed(i, c.repartition(max(1, c.count()))).mapInArrow(count, "_set string, caption_id long, gt_score double, ahead long, stored long, before long")
-    return _rank(truth, counted.withColumnRenamed("_set", key), n_images, [key, "caption_id"])
+    counts = streamed(i, streamed(i, captions).mapInArrow(own, c_schema)).mapInArrow(count, "_set string, caption_id long, gt_score double, ahead long, stored long, before long")
+    return _rank(truth, materialize(counts, "counts", BATCH).withColumnRenamed("_set", key), n_images, [key, "caption_id"])
 
 
 def posting_counts(representations: DataFrame) -> DataFrame:

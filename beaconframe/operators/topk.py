@@ -15,7 +15,7 @@ keeps the best of each query, so that only those go on to the final rank.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import add
 
@@ -79,18 +79,20 @@ def top_k_plan(queries: DataFrame, anchors: DataFrame, k: int) -> DataFrame:
     return found
 
 
-def _packed(rows: DataFrame, key: str, block_rows: int, name: str) -> DataFrame:
-    """(name_ids, name_m, name_d): blocks of up to ``block_rows`` rows as bytes of one matrix."""
+def _packed(rows: DataFrame, key: str, block_rows: int, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(name_ids, name_m, name_d, extra...): blocks of up to ``block_rows`` rows as bytes of one matrix; ``extra`` are whole numbers."""
+    more = [f"{name}_{c}" for c in extra]
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _rechunked(parts, block_rows):
             ids = part.column(0).to_numpy().astype("<i8")
             m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // len(ids)], pa.int32())], names=[f"{name}_ids", f"{name}_m", f"{name}_d"])
+            rest = [pa.array([part.column(c).to_numpy().astype("<i8").tobytes()], pa.binary()) for c in extra]
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary()), pa.array([len(m) // len(ids)], pa.int32()), *rest], names=[f"{name}_ids", f"{name}_m", f"{name}_d", *more])
 
-    packed = rows.select(F.col(key).cast("long"), F.col("vec").cast("array<double>")).where(F.size("vec") > 0)
+    packed = rows.select(F.col(key).cast("long"), F.col("vec").cast("array<double>"), *(F.col(c).cast("long") for c in extra)).where(F.size("vec") > 0)
     # Stored, because a product of two plans makes one side again for each partition of the other.
-    return materialize(packed.mapInArrow(pack, f"{name}_ids binary, {name}_m binary, {name}_d int"), f"blocks-{name}")
+    return materialize(packed.mapInArrow(pack, ", ".join([f"{name}_ids binary, {name}_m binary, {name}_d int", *(f"{c} binary" for c in more)])), f"blocks-{name}")
 
 
 def _rechunked(parts: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -132,12 +134,29 @@ def _of_item(row: np.ndarray, s: np.ndarray, item: np.ndarray, n: int, k: int) -
     return row[keep], s[keep], item[keep], least
 
 
-def _multiply(k: int, subsets: bool):
-    """The function that multiplies pairs of blocks and gives the best ``k`` of each query (and subset) at the end."""
+def _lists(name: str, ids: np.ndarray, extra: dict[str, np.ndarray], found: tuple[np.ndarray, ...], k: int, leave_own: bool) -> pa.RecordBatch:
+    """A row for each query with neighbours, which it has in the order of ranks; without its own anchor, if that is left out."""
+    row, s, item = found
+    if leave_own:
+        other = item != ids[row]
+        row, s, item = row[other], s[other], item[other]
+    count = np.bincount(row, minlength=len(ids))
+    keep = np.arange(len(row)) - (np.cumsum(count) - count)[row] < k
+    s, item, count = s[keep], item[keep], np.minimum(count, k)
+    some = count > 0
+    ends = pa.array(np.concatenate([[0], np.cumsum(count[some])]).astype("<i4"))
+    columns = {"subset_id": pa.array([name] * int(some.sum()), pa.string()), "id": pa.array(ids[some])} | {c: pa.array(x[some]) for c, x in extra.items()}
+    return pa.RecordBatch.from_pydict(columns | {"at": pa.ListArray.from_arrays(ends, pa.array(item)), "s": pa.ListArray.from_arrays(ends, pa.array(s))})
+
+
+def _multiply(k: int, subsets: bool, leave_own: bool = False, extra: tuple[str, ...] = ()):
+    """The function that multiplies pairs of blocks and gives the best ``k`` of each query at the end; for subsets ``_lists`` of each."""
+    most = k + leave_own
     below = 10.0**-PLACES  # A product that is less by this can't be as large after rounding.
 
     def multiply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[bytes, int], dict] = {}
+        more: dict[bytes, dict[str, np.ndarray]] = {}
         for batch in parts:
             for at in range(batch.num_rows):
                 cell = {c: batch.column(c)[at].as_py() for c in batch.schema.names}
@@ -146,6 +165,7 @@ def _multiply(k: int, subsets: bool):
                     raise ValueError(f"vectors of {cell['q_d']} and {d} components")
                 anchors_t, q_m = np.frombuffer(cell["a_m"], "<f8").reshape(-1, d).T, np.frombuffer(cell["q_m"], "<f8").reshape(-1, d)
                 names = cell["a_sets"] if subsets else [None]
+                more[cell["q_ids"]] = {c: np.frombuffer(cell[f"q_{c}"], "<i8") for c in extra}
                 inside = np.unpackbits(np.frombuffer(cell["a_bits"], np.uint8).reshape(len(names), -1), axis=1, count=len(a_ids)).astype(bool) if subsets else [np.ones(len(a_ids), bool)]
                 for first in range(0, len(q_m), SLICE):
                     s = q_m[first : first + SLICE] @ anchors_t
@@ -154,8 +174,8 @@ def _multiply(k: int, subsets: bool):
                     least = []
                     for name, mine in zip(names, inside, strict=True):
                         known = held.setdefault(name, empty)[3]
-                        if np.isinf(known).any() and (n := np.count_nonzero(mine)) > k:
-                            known = np.maximum(known, np.partition(s if n == len(mine) else s[:, mine], -k, axis=1)[:, -k])
+                        if np.isinf(known).any() and (n := np.count_nonzero(mine)) > most:
+                            known = np.maximum(known, np.partition(s if n == len(mine) else s[:, mine], -most, axis=1)[:, -most])
                         least.append(known)
                     # One pass over the products for all subsets: what none of them can use goes first.
                     i, j = np.nonzero(s >= np.minimum.reduce(least)[:, None] - below)
@@ -163,19 +183,21 @@ def _multiply(k: int, subsets: bool):
                     for name, mine, known in zip(names, inside, least, strict=True):
                         use = mine[j] & (x >= known[i] - below)
                         row, old, item, _ = held[name]
-                        held[name] = _of_item(np.concatenate([row, i[use]]), np.concatenate([old, np.round(x[use], PLACES)]), np.concatenate([item, a_ids[j[use]]]), len(s), k)
+                        held[name] = _of_item(np.concatenate([row, i[use]]), np.concatenate([old, np.round(x[use], PLACES)]), np.concatenate([item, a_ids[j[use]]]), len(s), most)
         for (q_ids, first), held in best.items():
             ids = np.frombuffer(q_ids, "<i8")[first : first + SLICE]
             for name, (row, s, item, _) in held.items():
-                found = {"id": pa.array(ids[row]), "anchor_id": pa.array(item), "s": pa.array(s)}
-                yield pa.RecordBatch.from_pydict(({"subset_id": pa.array([name] * len(row), pa.string())} if subsets else {}) | found)
+                if subsets:
+                    yield _lists(name, ids, {c: x[first : first + SLICE] for c, x in more[q_ids].items()}, (row, s, item), k, leave_own)
+                else:
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(ids[row]), "anchor_id": pa.array(item), "s": pa.array(s)})
 
     return multiply
 
 
-def _spread(queries: DataFrame, query_rows: int) -> DataFrame:
+def _spread(queries: DataFrame, query_rows: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """The blocks of the queries, one to a task."""
-    blocks = _packed(queries, "id", query_rows, "q")
+    blocks = _packed(queries, "id", query_rows, "q", extra)
     return blocks.repartition(max(1, blocks.count()))
 
 
@@ -185,11 +207,15 @@ def top_k_blocks(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows:
     return ranked(pairs.mapInArrow(_multiply(k, False), "id long, anchor_id long, s double"), k)
 
 
-def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
-    """(subset_id, id, anchor_id, s, rk) for ``anchors`` (anchor_id, vec, subsets): the best k within each subset.
+def top_k_lists(queries: DataFrame, anchors: DataFrame, k: int, *, leave_own: bool = False, extra: tuple[str, ...] = (), query_rows: int = 2048, anchor_rows: int = 8192) -> tuple[DataFrame, Callable]:
+    """For ``anchors`` (anchor_id, vec, subsets): pairs of blocks, and the function that makes (subset_id, id, extra..., at, s) of them.
 
-    All subsets share the products of a pair of blocks; only their best rows differ.  A block
-    of anchors has its subsets' names and a matrix of bits that says which anchor is in which.
+    A row has the best k of a query within a subset, in the order of ranks; with ``leave_own``
+    those but the query's own anchor.  A task sees all anchors, so its lists are whole and
+    nothing is ranked after it; the function is for ``mapInArrow``, alone or before another
+    in the same worker.  All subsets share the products of a pair of blocks; only their best
+    rows differ.  A block of anchors has its subsets' names and a matrix of bits that says
+    which anchor is in which.
     """
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +230,16 @@ def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows:
 
     rows = anchors.select(F.col("anchor_id").cast("long"), F.col("vec").cast("array<double>"), F.col("subsets").cast("array<string>")).where(F.size("vec") > 0)
     blocks = materialize(rows.mapInArrow(pack, "a_ids binary, a_m binary, a_d int, a_sets array<string>, a_bits binary"), "blocks-subsets")
-    found = streamed(blocks, _spread(queries, query_rows)).mapInArrow(_multiply(k, True), "subset_id string, id long, anchor_id long, s double")
-    order = Window.partitionBy("subset_id", "id").orderBy(F.desc("s"), "anchor_id")
-    return found.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= k)
+    # Few queries are dealt in smaller blocks, so that all workers have some.
+    query_rows = min(query_rows, max(SLICE, -(-queries.count() // (3 * queries.sparkSession.sparkContext.defaultParallelism))))
+    return streamed(blocks, _spread(queries, query_rows, extra)), _multiply(k, True, leave_own, extra)
+
+
+def top_k_subsets(queries: DataFrame, anchors: DataFrame, k: int, *, query_rows: int = 2048, anchor_rows: int = 8192) -> DataFrame:
+    """(subset_id, id, anchor_id, s, rk) for ``anchors`` (anchor_id, vec, subsets): the best k within each subset."""
+    pairs, lists = top_k_lists(queries, anchors, k, query_rows=query_rows, anchor_rows=anchor_rows)
+    found = pairs.mapInArrow(lists, "subset_id string, id long, at array<long>, s array<double>").select("subset_id", "id", F.posexplode(F.arrays_zip("at", "s")).alias("_at", "_e"))
+    return found.select("subset_id", "id", F.col("_e.at").alias("anchor_id"), F.col("_e.s").alias("s"), (F.col("_at") + 1).alias("rk"))
 
 
 def without_self(found: DataFrame, k: int, keys: tuple[str, ...] = ("id",)) -> DataFrame:

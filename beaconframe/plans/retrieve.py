@@ -6,7 +6,7 @@ import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from beaconframe.functions.ids import dense_ids
@@ -90,8 +90,8 @@ def chosen_captions(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
     return data.captions.join(queries_of(data, config).select("caption_id"), "caption_id", "left_semi")
 
 
-def _unit(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.select(F.col(id_col).alias("id"), l2_normalize(F.col("vec").cast("array<double>")).alias("vec"))
+def _unit(rows: DataFrame, id_col: str, *more: Column) -> DataFrame:
+    return rows.select(F.col(id_col).alias("id"), l2_normalize(F.col("vec").cast("array<double>")).alias("vec"), *more)
 
 
 def image_neighbours(data: EvaluationSet, config: RetrievalConfig) -> DataFrame:
@@ -155,19 +155,19 @@ def subset_ablation(data: EvaluationSet, config: RetrievalConfig, subsets: DataF
 
     Products of vectors are shared by all subsets; each has its own best k.
     """
-    members = subsets.groupBy("anchor_id").agg(F.collect_set(F.col("subset_id").cast("string")).alias("subsets"))
+    subsets = materialize(subsets.select(F.col("subset_id").cast("string").alias("subset_id"), "anchor_id"), "subsets")
+    members = subsets.groupBy("anchor_id").agg(F.collect_set("subset_id").alias("subsets"))
 
-    def represented(rows: DataFrame, bank: DataFrame) -> DataFrame:
-        more = config.k + data.leave_one_out
-        best = topk.top_k_subsets(rows, bank.join(members, "anchor_id"), more)
-        best = topk.without_self(best, config.k, ("subset_id", "id")) if data.leave_one_out else best
-        return relrep.weights(best, proc=config.proc, p=config.p, clamp_min=config.clamp_min, keys=("subset_id", "id"))
+    def represented(rows: DataFrame, bank: DataFrame, name: str, extra: tuple[str, ...] = ()) -> DataFrame:
+        pairs, lists = topk.top_k_lists(rows, bank.join(members, "anchor_id"), config.k, leave_own=data.leave_one_out, extra=extra)
+        return relrep.weighted_blocks(pairs, lists, name, proc=config.proc, p=config.p, clamp_min=config.clamp_min, extra=extra)
 
     whole = RetrievalConfig(**{**asdict(config), "anchor_n": None})
-    texts = represented(_unit(chosen_captions(data, config), "caption_id"), data.bank("txt_vec", whole))
-    images = represented(_unit(data.images, "image_idx"), data.bank("img_vec", whole))
-    truth = queries_of(data, config).crossJoin(subsets.select(F.col("subset_id").cast("string").alias("subset_id")).distinct()).crossJoin(data.images.agg(F.count(F.lit(1)).alias("n_images")))
-    return evaluate.recall_table(relrep.ground_truth_rank_of(texts, images, truth, F.col("n_images"), "subset_id"), list(config.ks), keys=("subset_id",))
+    captions = chosen_captions(data, config)
+    texts = represented(_unit(captions, "caption_id", F.col("image_idx").alias("gt")), data.bank("txt_vec", whole), "c", ("gt",))
+    images = represented(_unit(data.images, "image_idx"), data.bank("img_vec", whole), "i")
+    truth = queries_of(data, config).crossJoin(subsets.select("subset_id").distinct()).crossJoin(data.images.agg(F.count(F.lit(1)).alias("n_images")))
+    return evaluate.recall_table(relrep.rank_of_blocks(texts, images, truth, F.col("n_images"), "subset_id"), list(config.ks), keys=("subset_id",))
 
 
 def random_grid(percentages: DataFrame, repeats: int, seed_start: int = 0, repeat_full: bool = False) -> DataFrame:

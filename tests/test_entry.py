@@ -89,3 +89,8 @@ def test_scores_of_subsets_are_not_shuffled(spark):
 
 def test_scores_of_repeated_subsets_are_not_shuffled(spark):
     assert shuffled_by(spark, "random_ablation_mean_std") < 400_000
+
+
+def test_neighbours_of_subsets_are_not_shuffled(spark):
+    """500 items have 20 neighbours of each modality in each of seven subsets, 140,000 rows; only the subsets, the vectors and the counts are shuffled."""
+    assert shuffled_by(spark, "random_ablation_mean_std") < 60_000
